@@ -12,6 +12,10 @@ BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
+def fits_broadcast(small: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> bool:
+    return small.limit(broadcast_rows + 1).count() <= broadcast_rows
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,
@@ -31,7 +35,7 @@ def join_small(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     small = materialize(small)
-    if small.count() <= broadcast_rows:
+    if fits_broadcast(small, broadcast_rows):
         return big.join(F.broadcast(small), on, how)
     if spread_by is None:
         return big.join(small, on, how)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bytelayout.functions.charset import decode_big5, decode_utf8, decode_utf16
 from bytelayout.operators.validate import ERROR
-from bytelayout.plans.joins import join_small
+from bytelayout.plans.joins import fits_broadcast, join_small
 from bytelayout.session import charset_flags, materialize
 from bytelayout.sources import encoding as enc
 from bytelayout.sources.files import list_files
@@ -515,5 +515,5 @@ def read_csv(
             "file_id", "name", "size", "encoding", "label", "ambiguous", "newline", "delimiter",
             "records", "problem",
         ),
-        rows, issues, not any_framed,
+        rows, issues, not any_framed and fits_broadcast(files),
     )
