@@ -22,7 +22,7 @@ from bytelayout.operators.validate import ERROR
 from bytelayout.plans.joins import fits_broadcast, join_small
 from bytelayout.session import charset_flags, materialize
 from bytelayout.sources import encoding as enc
-from bytelayout.sources.files import list_files
+from bytelayout.sources.files import EMPTY_FILE, TOO_LARGE, file_options, list_files
 from bytelayout.sources.lines import line_offset, rows_before, scan_lines
 
 MALFORMED = "MALFORMED_CSV"
@@ -32,7 +32,6 @@ MISSING_QUOTES = "a quoted field is not closed"
 INVALID_QUOTES = "a quote inside a quoted field is not doubled"
 NO_DELIMITER = "no delimiter was found"
 UNDECODABLE = enc.UNDECODABLE
-EMPTY_FILE = "the file is empty"
 
 
 @dataclass(frozen=True)
@@ -109,14 +108,15 @@ def _by_delimiter(delimiters: Sequence[str], build) -> Column:
 
 def describe_csv(
     spark: SparkSession, path: str | list[str], encoding: str = "auto",
-    delimiter: str | None = None, newline: str | None = None,
+    delimiter: str | None = None, newline: str | None = None, glob: str | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Encoding, line end, delimiter and problem of every file, one small row each.
 
     What is given is not looked for: with encoding utf-8 or big5, a delimiter and a
     line end, no file is read here.
     """
-    listed = list_files(spark, path)
+    listed = list_files(spark, path, glob)
     if encoding in ("utf-8", "big5") and delimiter and newline:
         found = listed.select(
             "file_id",
@@ -128,7 +128,7 @@ def describe_csv(
             F.lit(delimiter).alias("delimiter"),
         )
     else:
-        found = enc.describe_files(scan_lines(spark, path), encoding).drop("file_size")
+        found = enc.describe_files(scan_lines(spark, path, glob=glob), encoding).drop("file_size")
         if newline:
             found = found.withColumn("newline", F.lit(newline))
         if delimiter:
@@ -136,6 +136,7 @@ def describe_csv(
     joined = listed.join(found, "file_id", "left")
     problem = (
         F.when(F.col("size") == 0, EMPTY_FILE)
+        .when(F.col("size") > (2**63 - 1 if max_bytes is None else max_bytes), TOO_LARGE)
         .when(F.col("encoding_problem").isNotNull(), F.col("encoding_problem"))
         .when(F.col("delimiter").isNull(), NO_DELIMITER)
     )
@@ -148,7 +149,8 @@ def describe_csv(
 
 
 def decoded_lines(
-    spark: SparkSession, path: str | list[str], files: DataFrame, kinds: Sequence[tuple[str, bool]]
+    spark: SparkSession, path: str | list[str], files: DataFrame,
+    kinds: Sequence[tuple[str, bool]], glob: str | None = None,
 ) -> DataFrame:
     """Lines of the usable files, split at their own line end and strictly decoded.
 
@@ -163,14 +165,14 @@ def decoded_lines(
         for newline in sorted({line_end for line_end, wide in kinds if not wide}):
             mine = wanted.filter((F.col("newline") == newline) & ~utf16)
             lines = join_small(
-                scan_lines(spark, path, newline), mine, ["file_id"], "inner", spread_by=F.col("at")
+                scan_lines(spark, path, newline, glob), mine, ["file_id"], "inner", spread_by=F.col("at")
             )
             text = F.when(F.col("encoding") == enc.UTF8, decode_utf8(F.col("line"))).otherwise(
                 decode_big5(F.col("line"))
             )
             parts.append(lines.withColumn("text", text).select(columns))
         if any(wide for _, wide in kinds):
-            whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            whole = spark.read.format("binaryFile").options(**file_options(glob)).load(path)
             whole = whole.select(F.col("_metadata.file_path").alias("file_id"), "content")
             contents = join_small(whole, wanted.filter(utf16), ["file_id"], "inner")
             big_endian = F.col("encoding") == enc.UTF16BE
@@ -443,7 +445,8 @@ def _quote_issues(lines: DataFrame, blocks: DataFrame, delimiters: Sequence[str]
 
 def read_csv(
     spark: SparkSession, path: str | list[str], encoding: str = "auto",
-    delimiter: str | None = None, newline: str | None = None,
+    delimiter: str | None = None, newline: str | None = None, glob: str | None = None,
+    max_bytes: int | None = None,
 ) -> CsvSource:
     """Read delimited files; every record of a usable file, none of a malformed one.
 
@@ -451,7 +454,7 @@ def read_csv(
     line are records. Two or three jobs over the files run here (evidence, quote
     behaviour) and leave small checkpointed tables; `rows` itself is lazy.
     """
-    files = describe_csv(spark, path, encoding, delimiter, newline)
+    files = describe_csv(spark, path, encoding, delimiter, newline, glob, max_bytes)
     usable = files.filter("problem is null")
     variants = usable.select(
         "newline", "delimiter", F.col("encoding").isin(enc.UTF16LE, enc.UTF16BE).alias("wide")
@@ -467,7 +470,7 @@ def read_csv(
 
     kinds = sorted({(row["newline"], row["wide"]) for row in variants})
     delimiters = sorted({row["delimiter"] for row in variants})
-    lines = decoded_lines(spark, path, usable, kinds)
+    lines = decoded_lines(spark, path, usable, kinds, glob)
     blocks = describe_blocks(lines, delimiters)
 
     ends = blocks.groupBy("file_id").agg(

@@ -18,9 +18,15 @@ def file_type(name: Column) -> Column:
     return F.when(extension.isin(*FILE_TYPES), extension)
 
 
-def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def file_options(glob: str | None = None) -> dict[str, str]:
+    """Reader options: all folders below the path, and only names that match `glob`."""
+    options = {"recursiveFileLookup": "true"}
+    return options if glob is None else {**options, "pathGlobFilter": glob}
+
+
+def list_files(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Files below a path by their metadata; no content is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = spark.read.format("binaryFile").options(**file_options(glob)).load(path)
     sized = found.select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_size").alias("size"),

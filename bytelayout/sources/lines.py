@@ -13,11 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bytelayout.plans.joins import join_small
+from bytelayout.sources.files import file_options
 
 
-def scan_lines(spark: SparkSession, path: str | list[str], line_sep: str = "\n") -> DataFrame:
+def scan_lines(
+    spark: SparkSession, path: str | list[str], line_sep: str = "\n", glob: str | None = None
+) -> DataFrame:
     """`file_id`, `block` (first byte of the split), `at` (order in it), `line` (bytes)."""
-    text = spark.read.option("lineSep", line_sep).option("recursiveFileLookup", "true").text(path)
+    text = spark.read.option("lineSep", line_sep).options(**file_options(glob)).text(path)
     return text.select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_size").alias("file_size"),

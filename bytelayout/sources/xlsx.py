@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from bytelayout.session import materialize
 from bytelayout.sources.cells import CELLS_SCHEMA, EMPTY_SHEET, SheetSource, sheet_issue, sheet_rows
-from bytelayout.sources.files import file_type
+from bytelayout.sources.files import admit_files, file_options, file_type, list_files
 
 OUTPUT_SCHEMA = CELLS_SCHEMA + ", problem string"
 UNREADABLE = "the workbook cannot be read"
 NO_SHEET = "the workbook has no sheet"
+WORKBOOKS = "*.[xX][lL][sS]*"
 LEGACY = "the legacy .xls format is not supported"
 
 # Number format ids every workbook knows without declaring them.
@@ -134,25 +135,34 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns).astype({"sheet_index": "Int32", "r": "Int32", "c": "Int32"})
 
 
-def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Cells of all `.xlsx` files below a path, and a row with `problem` for bad ones."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kind = file_type(F.col("_metadata.file_name"))
-    books = found.withColumn("_kind", kind)
-    named = F.col("_metadata.file_path").alias("file_id")
-    cells = books.filter("_kind = 'xlsx'").select(named, "content").mapInPandas(_extract, OUTPUT_SCHEMA)
-    names = [part.split()[0] for part in CELLS_SCHEMA.split(", ")]
-    legacy = books.filter("_kind = 'xls'").select(
-        named,
-        *[F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in CELLS_SCHEMA.split(", ")[1:]],
-        F.lit(LEGACY).alias("problem"),
-    )
-    return cells.unionByName(legacy.select(*names, "problem"))
+def extract_cells(books: DataFrame) -> DataFrame:
+    """Cells of workbooks given as `file_id` and `content`, and a row with `problem` for bad ones."""
+    return books.select("file_id", "content").mapInPandas(_extract, OUTPUT_SCHEMA)
 
 
-def read_xlsx(spark: SparkSession, path: str | list[str], min_columns: int) -> SheetSource:
+def read_cells(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """Cells of all workbooks below a path; `.xls` and refused files only get a `problem`."""
+    found = spark.read.format("binaryFile").options(**file_options(WORKBOOKS)).load(path)
+    listed = admit_files(list_files(spark, path, WORKBOOKS), max_bytes)
+    listed = listed.withColumn(
+        "problem",
+        F.coalesce("problem", F.when(F.col("file_type") == "xls", LEGACY)),
+    )
+    problems = listed.filter("problem is not null and file_type is not null")
+    # Refused workbooks are left out before their content is read.
+    kept = found.filter(file_type(F.col("_metadata.file_name")) == "xlsx")
+    if max_bytes is not None:
+        kept = kept.filter(F.col("_metadata.file_size") <= max_bytes)
+    cells = extract_cells(kept.select(F.col("_metadata.file_path").alias("file_id"), "content"))
+    empty = [F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in CELLS_SCHEMA.split(", ")[1:]]
+    return cells.unionByName(problems.select("file_id", *empty, "problem"))
+
+
+def read_xlsx(
+    spark: SparkSession, path: str | list[str], min_columns: int, max_bytes: int | None = None
+) -> SheetSource:
     """Records of the first sheets of `.xlsx` files, by their displayed text."""
-    cells = materialize(read_cells(spark, path))
+    cells = materialize(read_cells(spark, path, max_bytes))
     source = sheet_rows(cells.filter("problem is null").drop("problem"), min_columns)
     failed = cells.filter("problem is not null").select(*sheet_issue(F.col("problem")))
     return SheetSource(source.rows, failed.unionByName(source.issues))
