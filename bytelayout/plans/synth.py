@@ -51,12 +51,14 @@ def synthetic_rows(ids: DataFrame, number: str, file_id: Column | None = None) -
     n = F.col(number).cast("bigint")
     house = F.pmod(n * 17, F.lit(999)) + 1
     floor = F.pmod(n, F.lit(12)) + 1
-    place = F.concat(pick(CITIES, n, 1), pick(DISTRICTS, n, 2), pick(STREETS, n, 3))
+    city = pick(CITIES, n, 1)
+    road = F.concat(pick(DISTRICTS, n, 2), pick(STREETS, n, 3))
+    place = F.concat(city, road)
     address = (
         F.when(n == 1, LONG_ADDRESS)
         .when(n == 2, F.format_string("%s%d號,%d樓", place, house, floor))
         .when(n == 3, F.format_string('%s%d號"測試戶"%d樓', place, house, floor))
-        .when(n == 4, F.format_string("%s %d號 %d樓", place, house, floor))
+        .when(n == 4, F.format_string("%s %s%d號 %d樓", city, road, house, floor))
         .otherwise(F.format_string("%s%d號%d樓", place, house, floor))
     )
     name = F.when(n == 1, LONG_NAME).otherwise(
