@@ -74,8 +74,8 @@ def output_name(name: Column) -> Column:
 
 
 def mask_value(value: Column) -> Column:
-    """Hide letters and digits of a value that goes into a report."""
-    return F.mask(value, F.lit("x"), F.lit("x"), F.lit("0"), F.lit("x"))
+    """Hide ASCII letters and digits of a value that goes into a report."""
+    return F.mask(value, F.lit("x"), F.lit("x"), F.lit("0"))
 
 
 def csv_field(value: Column, delimiter: str = ",") -> Column:

@@ -149,9 +149,9 @@ def records_lineitem(spark, folder):
     f"""WITH big5 AS (SELECT unnest(string_split('{CHINESE}', '')) AS ch,
            unnest(['B973','B3FC','B64C','B0D1','B876','A5EE','B3B0','AC6D','AEC3','A868']) AS code),
     rows AS (SELECT c_custkey + 1 AS source_row, {sql_chinese("c_name")} AS v FROM customer),
-    chars AS (SELECT source_row, unnest(string_split(v, '')) AS ch, unnest(range(length(v))) AS at FROM rows)
+    chars AS (SELECT source_row, unnest(string_split(v, '')) AS ch, unnest(range(length(v))) AS pos FROM rows)
     SELECT source_row, count(code) + count(*) AS value_bytes,
-           rpad(string_agg(coalesce(code, hex(ch)), '' ORDER BY at), 64, '20') AS record_hex
+           rpad(string_agg(coalesce(code, hex(ch)), '' ORDER BY pos), 64, '20') AS record_hex
     FROM chars LEFT JOIN big5 USING (ch) GROUP BY source_row""",
 )
 def cjk_records(spark, folder):
@@ -671,10 +671,10 @@ def file_sha256(spark, folder):
 
 def _sql_tree(levels: int, group: int) -> str:
     level = f"""SELECT c_nationkey::VARCHAR AS file_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1
-        AS at, sha256({SQL_CUSTOMER_RECORD}) AS d, 1 AS n FROM customer"""
+        AS pos, sha256({SQL_CUSTOMER_RECORD}) AS d, 1 AS n FROM customer"""
     for _ in range(levels):
-        level = f"""SELECT file_id, at // {group} AS at, sha256(string_agg(d, '' ORDER BY at)) AS d, sum(n) AS n
-            FROM ({level}) GROUP BY file_id, at // {group}"""
+        level = f"""SELECT file_id, pos // {group} AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, sum(n) AS n
+            FROM ({level}) GROUP BY file_id, pos // {group}"""
     return f"SELECT file_id, n::BIGINT AS record_count, (n * 42)::BIGINT AS size_bytes, d AS tree_sha256 FROM ({level})"
 
 

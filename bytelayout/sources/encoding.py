@@ -7,6 +7,8 @@ end, delimiter). The answers follow by plain expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,22 +107,29 @@ def utf16_hint(head: Column) -> Column:
     )
 
 
+def _with(value: Column, build: Callable[[Column], Column]) -> Column:
+    """`build` applied to a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def newline_of(head: Column) -> Column:
     """Line end of a file from its head, quoted text left out.
 
     LF if that comes first; else CRLF if at least half of the pieces between CRs
     begin with LF; else CR.
     """
-    bare = F.regexp_replace(head, '"[^"]*+"', "")
-    returns = F.length(bare) - F.length(F.replace(bare, F.lit(CR), F.lit("")))
-    pairs = (F.length(bare) - F.length(F.replace(bare, F.lit(CRLF), F.lit("")))) / 2
-    first_lf, first_cr = F.instr(bare, LF), F.instr(bare, CR)
-    return (
-        F.when(returns == 0, LF)
-        .when((first_lf > 0) & (first_lf < first_cr), LF)
-        .when(pairs >= (returns + 1) / 2, CRLF)
-        .otherwise(CR)
-    )
+    def judge(bare: Column) -> Column:
+        returns = F.length(bare) - F.length(F.replace(bare, F.lit(CR), F.lit("")))
+        pairs = (F.length(bare) - F.length(F.replace(bare, F.lit(CRLF), F.lit("")))) / 2
+        first_lf, first_cr = F.locate(LF, bare), F.locate(CR, bare)
+        return (
+            F.when(first_cr == 0, LF)
+            .when((first_lf > 0) & (first_lf < first_cr), LF)
+            .when(pairs >= (returns + 1) / 2, CRLF)
+            .otherwise(CR)
+        )
+
+    return _with(F.regexp_replace(head, '"[^"]*+"', ""), judge)
 
 
 def _single_line_ends(head: Column, newline: Column) -> Column:
@@ -137,36 +146,39 @@ def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
     if it varies no more and has more fields. NULL when none qualifies. `whole`
     tells that the head is the full file, so that its last record counts too.
     """
-    text = _single_line_ends(head, newline)
-
-    def field_counts(delimiter: str) -> Column:
+    def judged(text: Column, delimiter: str) -> Column:
         d = f"\\x{ord(delimiter):02x}"
         quoted = '"[^"]*+(?:""[^"]*+)*+"[^' + d + "\\n]*+"
         field = f'(?:{quoted}|(?!")[^{d}\\n]*+)'
         record = f"(?:{field}{d})*+{field}(?:\\n|\\z)"
-        found = F.filter(
-            F.regexp_extract_all(text, F.lit(f"({record})")), lambda r: r != ""
-        )
-        full = F.when(whole | (F.size(found) > SAMPLE_RECORDS), found).otherwise(
-            F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(1)))
-        )
-        return F.transform(
-            F.slice(full, 1, SAMPLE_RECORDS),
-            lambda r: F.regexp_count(r, F.lit(f'(?:{quoted}|(?!")[^{d}\\n]*+){d}')) + 1,
+        # One record more than the sample tells that the last sampled one is complete.
+        sample = F.regexp_extract(text, f"\\A(?:{record}){{0,{SAMPLE_RECORDS + 1}}}+", 0)
+        found = F.filter(F.regexp_extract_all(sample, F.lit(f"({record})")), lambda r: r != "")
+
+        def complete(records: Column) -> Column:
+            return F.when(whole | (F.size(records) > SAMPLE_RECORDS), records).otherwise(
+                F.slice(records, F.lit(1), F.greatest(F.size(records) - 1, F.lit(1)))
+            )
+
+        counts = F.transform(
+            F.slice(_with(found, complete), 1, SAMPLE_RECORDS),
+            lambda r: F.regexp_count(r, F.lit(f"\\G{field}{d}")) + 1,
         )
 
-    def judged(delimiter: str) -> Column:
-        counts = field_counts(delimiter)
-        return F.struct(
-            F.lit(delimiter).alias("delimiter"),
-            F.aggregate(
-                F.sequence(F.lit(1), F.greatest(F.size(counts) - 1, F.lit(1))),
-                F.lit(0),
-                lambda total, i: total
-                + F.coalesce(F.abs(F.get(counts, i) - F.get(counts, i - 1)), F.lit(0)),
-            ).alias("change"),
-            (F.aggregate(counts, F.lit(0), lambda total, n: total + n) / F.size(counts)).alias("mean"),
-        )
+        def judge(numbers: Column) -> Column:
+            following = F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0)))
+            steps = F.zip_with(
+                following, F.slice(numbers, F.lit(1), F.size(following)), lambda a, b: F.abs(a - b)
+            )
+            return F.struct(
+                F.lit(delimiter).alias("delimiter"),
+                F.aggregate(steps, F.lit(0), lambda total, n: total + n).alias("change"),
+                F.try_divide(
+                    F.aggregate(numbers, F.lit(0), lambda total, n: total + n), F.size(numbers)
+                ).alias("mean"),
+            )
+
+        return _with(counts, judge)
 
     def better(best: Column, other: Column) -> Column:
         wins = (other["mean"] > 1.99) & (
@@ -175,13 +187,17 @@ def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
         )
         return F.when(wins, other).otherwise(best)
 
-    judgements = [judged(delimiter) for delimiter in DELIMITERS]
     nothing = F.struct(
         F.lit(None).cast("string").alias("delimiter"),
         F.lit(None).cast("int").alias("change"),
         F.lit(None).cast("double").alias("mean"),
     )
-    return F.aggregate(F.array(*judgements), nothing, better)["delimiter"]
+    return _with(
+        _single_line_ends(head, newline),
+        lambda text: F.aggregate(
+            F.array(*[judged(text, delimiter) for delimiter in DELIMITERS]), nothing, better
+        )["delimiter"],
+    )
 
 
 def resolve_encoding(files: DataFrame, preference: str = "auto") -> DataFrame:

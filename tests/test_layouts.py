@@ -87,7 +87,7 @@ def test_small_text_functions(spark):
     ).collect()
     assert [row.m for row in rows] == ["a·b→↵↵中□⍽", "", "Ab-1"]
     assert [row.o for row in rows] == ["Data.txt", "x.xlsx.txt", "y.txt.txt"]
-    assert rows[2].k == "xxx0"
+    assert rows[2].k == "xx-0"
 
 
 def test_number_rows_and_table_rows(spark):
