@@ -52,7 +52,9 @@ def message(
 
 def row_issues(validated: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per issue of a record or field."""
-    found = validated.select("file_id", "source_row", F.explode("issues").alias("issue"))
+    # The outer form, since Spark would put a copy of the rules below the plain one.
+    found = validated.select("file_id", "source_row", F.explode_outer("issues").alias("issue"))
+    found = found.filter("issue is not null")
     return _with_message(found.select("file_id", "source_row", "issue.*"), templates)
 
 

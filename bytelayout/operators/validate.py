@@ -148,9 +148,22 @@ def validate(rows: DataFrame, layout: Layout, charset: str = BIG5) -> DataFrame:
         checked = encoded.withColumn(
             "issues", F.when(F.col("resolved").isNull(), of_record).otherwise(of_fields)
         )
-        return checked.withColumn(
-            "valid", ~F.exists("issues", lambda found: found["severity"] == ERROR)
-        ).drop("_problem")
+        return _computed_once(checked.drop("_problem"))
+
+
+def _computed_once(checked: DataFrame) -> DataFrame:
+    """Add `valid`, and keep filters on it or on `issues` from copying the rules.
+
+    Spark moves a filter below the projections it refers to and copies their
+    expressions into it, here all the rules of a record. It does not move one below
+    a generator, so both columns pass through one that gives a single row.
+    """
+    valid = ~F.exists("issues", lambda found: found["severity"] == ERROR)
+    verdict = F.explode_outer(F.array(F.struct("issues", valid.alias("valid"))))
+    others = [name for name in checked.columns if name != "issues"]
+    return checked.select(*others, verdict.alias("_verdict")).select(
+        *others, F.col("_verdict.issues").alias("issues"), F.col("_verdict.valid").alias("valid")
+    )
 
 
 def pad_field(data: Column, width: int, alignment: str = "left") -> Column:
