@@ -64,7 +64,7 @@ def main():
         timed(name, lambda: drain(catalog.QUERIES[name](spark, folder)))
 
     # The whole path: lineitem to CSV files, read, validated, gated and written.
-    lines = catalog.table(spark, folder, "lineitem").withColumn("n", catalog.F.monotonically_increasing_id() + 1)
+    lines = catalog.spread_table(spark, folder, "lineitem").withColumn("n", catalog.F.monotonically_increasing_id() + 1)
     rows = table_rows(lines, catalog.LINEITEM_FIELDS, "l_returnflag", "n")
     source_path, out = work_path(spark, "bench-csv"), work_path(spark, "bench-out")
     timed("write_csv", lambda: write_csv(rows, source_path, rows_per_part=10**12))

@@ -26,12 +26,12 @@ def _block_prints(records: DataFrame, name: str) -> DataFrame:
 
 
 def first_different_field(left: Column, right: Column, layout: Layout) -> Column:
-    """1-based number of the first field whose bytes differ."""
+    """1-based number of the first field whose bytes differ; NULL if a side is missing."""
     differs = F.zip_with(
         field_bytes(left, layout), field_bytes(right, layout), lambda a, b: ~a.eqNullSafe(b)
     )
     at = F.array_position(differs, True)
-    return F.when(at > 0, at)
+    return F.when(left.isNotNull() & right.isNotNull() & (at > 0), at)
 
 
 def compare_files(left: DataFrame, right: DataFrame, layout: Layout) -> DataFrame:

@@ -102,6 +102,21 @@ def field_issues(
     return F.when(~quiet, found)
 
 
+def is_quiet(widths: Column, required: Column | None) -> Column:
+    """A record none of whose fields can have an issue: most records, found cheaply."""
+    def yes(test: Column) -> Column:
+        return test
+
+    fits = F.zip_with(
+        "encoded", widths, lambda data, width: F.coalesce(F.octet_length(data) <= width, F.lit(False))
+    )
+    quiet = F.forall("resolved", text.is_calm) & F.forall(fits, yes)
+    if required is None:
+        return quiet
+    present = F.zip_with("resolved", required, lambda value, needed: ~needed | (value != ""))
+    return quiet & F.forall(present, yes)
+
+
 def validate(rows: DataFrame, layout: Layout, charset: str = BIG5) -> DataFrame:
     """Check every record against the layout.
 
@@ -146,7 +161,10 @@ def validate(rows: DataFrame, layout: Layout, charset: str = BIG5) -> DataFrame:
         )
         of_fields = F.flatten(F.array_compact(F.transform("encoded", of_field)))
         checked = encoded.withColumn(
-            "issues", F.when(F.col("resolved").isNull(), of_record).otherwise(of_fields)
+            "issues",
+            F.when(F.col("resolved").isNull(), of_record)
+            .when(is_quiet(widths, flags if any_required else None), F.array().cast(f"array<{ISSUE_TYPE}>"))
+            .otherwise(of_fields),
         )
         return _computed_once(checked.drop("_problem"))
 
@@ -159,9 +177,10 @@ def _computed_once(checked: DataFrame) -> DataFrame:
     a generator, so both columns pass through one that gives a single row.
     """
     valid = ~F.exists("issues", lambda found: found["severity"] == ERROR)
-    verdict = F.explode_outer(F.array(F.struct("issues", valid.alias("valid"))))
+    verdict = F.explode_outer(F.array(F.struct("issues", "valid")))
     others = [name for name in checked.columns if name != "issues"]
-    return checked.select(*others, verdict.alias("_verdict")).select(
+    judged = checked.withColumn("valid", valid)
+    return judged.select(*others, verdict.alias("_verdict")).select(
         *others, F.col("_verdict.issues").alias("issues"), F.col("_verdict.valid").alias("valid")
     )
 

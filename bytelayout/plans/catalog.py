@@ -29,7 +29,7 @@ from bytelayout.plans.synth import (
     CATEGORIES, CITIES, DISTRICTS, FAMILY_NAMES, GIVEN_NAMES, LONG_ADDRESS, LONG_NAME,
     RECORD_TYPES, REGIONS, STATUSES, STREETS, synthetic_rows, with_faults,
 )
-from bytelayout.session import charset_flags, work_path
+from bytelayout.session import charset_flags, use_all_cores, work_path
 from bytelayout.sources.cells import cell_address, cell_issues, dense_rows, sheet_extents
 from bytelayout.sources.csv import describe_csv, read_csv
 from bytelayout.sources.encoding import delimiter_of, newline_of, utf16_hint
@@ -71,6 +71,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table for work that costs more than its rows: only some columns, on all cores."""
+    chosen = table(spark, folder, name)
+    return use_all_cores(chosen.select(*columns) if columns else chosen)
+
+
 def chinese(column: str):
     return F.translate(column, ARABIC, CHINESE)
 
@@ -124,7 +130,7 @@ LINEITEM_FIELDS = [
 
 
 def lineitem_rows(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = spread_table(spark, folder, "lineitem")
     return table_rows(
         lines, LINEITEM_FIELDS, file_id="l_returnflag",
         source_row=F.col("l_orderkey") * 8 + F.col("l_linenumber"),
@@ -203,7 +209,7 @@ PART = Layout.of_widths([9, 7, 6, 1], expected_rows=80)
 
 def checked_part(spark: SparkSession, folder: str) -> DataFrame:
     rows = table_rows(
-        table(spark, folder, "part"), ["p_name", "p_brand", "p_type", "p_size"],
+        spread_table(spark, folder, "part"), ["p_name", "p_brand", "p_type", "p_size"],
         file_id="p_brand", source_row=F.col("p_partkey") + 1,
     )
     return validate(rows, PART)
@@ -267,7 +273,7 @@ ORDERS = Layout((FieldSpec(1, default_value="N"), FieldSpec(15, required=True),
 
 
 def planted_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").withColumns(
+    orders = spread_table(spark, folder, "orders").withColumns(
         {
             "status": F.expr("if(o_orderkey % 5 = 0, '', o_orderstatus)"),
             "priority": F.expr(
@@ -328,7 +334,7 @@ TALK = Layout.of_widths([10, 1_000_000])
 
 
 def planted_talk(spark: SparkSession, folder: str) -> DataFrame:
-    talk = table(spark, folder, "conversations").withColumn("v", F.expr(SPACED))
+    talk = spread_table(spark, folder, "conversations").withColumn("v", F.expr(SPACED))
     return table_rows(
         talk, ["role", "v"], file_id="role", source_row=F.col("conv_id") * 1000 + F.col("turn")
     )
@@ -396,7 +402,7 @@ def row_rules(spark, folder):
 )
 def unencodable_docs(spark, folder):
     with charset_flags(spark):
-        data = table(spark, folder, "documents").withColumn("b", encode_big5(F.col("text")))
+        data = spread_table(spark, folder, "documents", "doc_id", "text").withColumn("b", encode_big5(F.col("text")))
         return data.select(
             "doc_id", F.col("b").isNotNull().alias("encodable"), F.octet_length("b").alias("value_bytes")
         )
@@ -410,7 +416,7 @@ def unencodable_docs(spark, folder):
 )
 def unencodable_chars(spark, folder):
     return unencodable_characters(
-        table(spark, folder, "documents").select("lang", F.col("text").alias("value"))
+        spread_table(spark, folder, "documents", "lang", "text").withColumnRenamed("text", "value")
     )
 
 
@@ -422,7 +428,7 @@ def unencodable_chars(spark, folder):
        OR length(text) + length(regexp_replace(text, '[^{HELD}]', '', 'g')) > 100""",
 )
 def blocking_docs(spark, folder):
-    rows = table_rows(table(spark, folder, "documents"), ["text"], file_id="lang", source_row="doc_id")
+    rows = table_rows(spread_table(spark, folder, "documents"), ["text"], file_id="lang", source_row="doc_id")
     errors = row_issues(validate(rows, Layout.of_widths([100]))).filter("severity = 'error'")
     return errors.select(F.col("source_row").alias("doc_id"), "code")
 
@@ -496,7 +502,7 @@ PRIORITY = Layout.of_widths([1, 12, 12])
 
 
 def checked_priorities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders")
     marked = orders.withColumns(
         {
             "status": F.expr("if(o_orderpriority = '1-URGENT' and o_orderkey % 100 = 3, 'XX', o_orderstatus)"),

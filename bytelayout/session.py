@@ -62,3 +62,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small evidence table with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a small input that fewer tasks read than there are cores.
+
+    A table of one row group is one task, whatever the number of splits. Inputs
+    with more splits than a few per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
