@@ -19,7 +19,7 @@ from bytelayout.layout import Layout  # noqa: E402
 from bytelayout.operators.reports import summarize  # noqa: E402
 from bytelayout.operators.validate import validate  # noqa: E402
 from bytelayout.plans import catalog  # noqa: E402
-from bytelayout.session import work_path  # noqa: E402
+from bytelayout.session import materialize, work_path  # noqa: E402
 from bytelayout.sources.csv import read_csv  # noqa: E402
 from bytelayout.sources.sink import write_csv, write_fixed_width  # noqa: E402
 from bytelayout.sources.tables import table_rows  # noqa: E402
@@ -73,8 +73,7 @@ def main():
     layout = Layout.of_widths(catalog.LINEITEM.widths)
     checked = validate(source.rows, layout)
     timed("validate_csv", lambda: drain(checked))
-    summary = summarize(checked, layout)
-    timed("summarize_csv", lambda: drain(summary))
+    summary = timed("summarize_csv", lambda: materialize(summarize(checked, layout)))
     timed("write_fixed_width", lambda: write_fixed_width(checked, summary, layout, out, by_block=source.by_block))
 
     count = catalog.table(spark, folder, "lineitem").count()
