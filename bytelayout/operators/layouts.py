@@ -59,17 +59,6 @@ def layout_diff(layouts: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def same_layout(layouts: DataFrame, fields: int, required: bool, default: str) -> DataFrame:
-    """Per layout, whether all its fields carry the given flags and count."""
-    return layouts.groupBy("layout_id").agg(
-        (
-            (F.count(F.lit(1)) == fields)
-            & F.every(F.col("required") == required)
-            & F.every(F.col("default_value") == default)
-        ).alias("same")
-    )
-
-
 def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytelayout.functions.charset import BIG5, encode_big5
 from bytelayout.layout import Layout
+from bytelayout.plans.joins import join_small
 from bytelayout.session import charset_flags
 
 GROUP = 4096
@@ -131,7 +132,7 @@ def small_file_sha256(
         "",
     )
     hashed = (
-        records.join(small, "file_id", "left_semi")
+        join_small(records, small, ["file_id"], "left_semi", spread_by=F.col(order))
         .groupBy("file_id")
         .agg(F.sha2(F.unhex(joined), 256).alias("sha256"))
     )

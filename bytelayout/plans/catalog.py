@@ -799,19 +799,37 @@ def csv_records(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.csv_record(fields).alias("record"))
 
 
-@query(
-    "csv_roundtrip",
-    """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS source_row, doc_id::VARCHAR AS doc,
-    lang, text FROM documents""",
-)
-def csv_roundtrip(spark, folder):
-    """Documents with line breaks written as CSV files, detected, framed and read."""
+SQL_DOCUMENTS = """SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS source_row,
+    doc_id::VARCHAR AS doc, lang, text FROM documents"""
+
+
+def document_rows(spark: SparkSession, folder: str) -> DataFrame:
     numbered = number_rows(table(spark, folder, "documents"), "source", ["doc_id"])
+    return table_rows(numbered, ["source", "doc_id", "lang", "text"], "source", "source_row")
+
+
+def shown_documents(rows: DataFrame) -> DataFrame:
+    names = ["source", "doc", "lang", "text"]
+    return rows.select(
+        "source_row", *[F.get("fields", F.lit(at)).alias(name) for at, name in enumerate(names)]
+    )
+
+
+@query("csv_roundtrip", SQL_DOCUMENTS)
+def csv_roundtrip(spark, folder):
+    """Documents written as CSV files with CRLF ends, everything about them detected."""
+    path = work_path(spark, "documents")
+    write_csv(document_rows(spark, folder), path)
+    return shown_documents(read_csv(spark, path).rows)
+
+
+@query("csv_framing", SQL_DOCUMENTS)
+def csv_framing(spark, folder):
+    """The same with LF ends, so that records break at the line ends within texts."""
     path = work_path(spark, "documents")
-    write_csv(table_rows(numbered, ["source", "doc_id", "lang", "text"], "source", "source_row"), path)
-    source = read_csv(spark, path)
-    columns = [F.get("fields", F.lit(at)).alias(name) for at, name in enumerate(["source", "doc", "lang", "text"])]
-    return source.rows.select("source_row", *columns)
+    rows = document_rows(spark, folder).withColumn("record", text.csv_record(F.col("fields")))
+    write_records(rows, path, line_sep="\n")
+    return shown_documents(read_csv(spark, path, "utf-8", ",", "\n").rows)
 
 
 def write_encoded_customers(spark: SparkSession, folder: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bytelayout.functions.render import cell_text
 from bytelayout.operators.validate import ERROR
+from bytelayout.plans.joins import join_small
 
 MALFORMED = "MALFORMED_SPREADSHEET"
 MAX_ROWS = 100_000
@@ -147,8 +148,9 @@ def sheet_rows(
 ) -> SheetSource:
     """Records of the sheets that can be used, and issues of the others."""
     extents = sheet_extents(cells, max_rows, max_columns)
-    issues = extent_issues(extents).unionByName(
-        cell_issues(cells.join(extents.filter("not too_far"), "file_id", "left_semi"))
-    )
-    usable = cells.join(issues.select("file_id").distinct(), "file_id", "left_anti")
+    within = extents.filter("not too_far").select("file_id")
+    checked = join_small(cells, within, ["file_id"], "left_semi", spread_by=F.col("r"))
+    issues = extent_issues(extents).unionByName(cell_issues(checked))
+    failed = issues.select("file_id").distinct()
+    usable = join_small(checked, failed, ["file_id"], "left_anti", spread_by=F.col("r"))
     return SheetSource(dense_rows(usable, min_columns), issues)

@@ -31,7 +31,9 @@ HINT_FEW = 0.05
 
 UNDECODABLE = "the bytes are not valid in the source encoding"
 
-HEAD_LINES = 4096
+# No more than spark.sql.optimizer.windowGroupLimitThreshold, up to which Spark trims
+# each map task to its first rows before the shuffle.
+HEAD_LINES = 1000
 HEAD_BYTES = 1024 * 1024
 SAMPLE_RECORDS = 10
 
