@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from bytelayout.llm.bpe import round_trip
 from bytelayout.llm.contamination import find_contamination
 from bytelayout.llm.exact import exact_duplicates
+from bytelayout.llm.html import extract
 from bytelayout.llm.licenses import scan_licenses
+from bytelayout.llm.quality import THRESHOLD, fold, score_quality, train_quality
 from bytelayout.llm.sharding import SLOT_BUCKETS, shard
+from bytelayout.llm.simhash import near_duplicates
 
 SHARDS = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -32,12 +35,36 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    # The url rides along in the id, so that nothing is joined or shuffled.
+    found = extract(pages.withColumn("page", F.struct("page_id", "url")), id_col="page")
+    return found.select("doc_id.page_id", "doc_id.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest id of each stays."""
     found = exact_duplicates(table(spark, sf_dir, "documents"), hash_all=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by fingerprints at most 4 bits apart."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
     found = scan_licenses(table(spark, sf_dir, "documents"))
@@ -69,7 +96,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
+    "op4_html": op4_html,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
 }
