@@ -12,6 +12,7 @@ from bytelayout.llm.exact import exact_duplicates
 from bytelayout.llm.html import extract
 from bytelayout.llm.licenses import scan_licenses
 from bytelayout.llm.quality import THRESHOLD, fold, score_quality, train_quality
+from bytelayout.llm.repeats import remove_repeats
 from bytelayout.llm.sharding import SLOT_BUCKETS, shard
 from bytelayout.llm.simhash import near_duplicates
 
@@ -93,6 +94,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 100 bytes that occurred before."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
@@ -102,6 +112,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
+    "op10_repeats": op10_repeats,
 }
 
 SQL_SHARDING = f"""
