@@ -11,6 +11,7 @@ from bytelayout.llm.contamination import find_contamination
 from bytelayout.llm.exact import exact_duplicates
 from bytelayout.llm.html import extract
 from bytelayout.llm.licenses import scan_licenses
+from bytelayout.llm.lm import BACKOFF, MIN_COUNT, score_documents
 from bytelayout.llm.quality import THRESHOLD, fold, score_quality, train_quality
 from bytelayout.llm.repeats import remove_repeats
 from bytelayout.llm.sharding import SLOT_BUCKETS, shard
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the bigrams of all documents."""
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 equal shards by rendezvous hashing of the id."""
     placed = shard(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grown_weight=1.0)
@@ -104,6 +110,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_html": op4_html,
@@ -175,7 +182,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
+SQL_LM = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+tok AS (
+  SELECT r, pos, w[pos] AS cur, CASE WHEN pos > 1 THEN w[pos - 1] END AS prev
+  FROM doc, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS pos) p
+),
+one AS (SELECT cur, count(*) AS n FROM tok GROUP BY cur),
+two AS (SELECT prev, cur, count(*) AS n FROM tok WHERE prev IS NOT NULL GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM tok),
+scored AS (
+  SELECT r, CASE WHEN tok.prev IS NOT NULL AND NOT coalesce(two.n >= {MIN_COUNT}, false) THEN 1 ELSE 0 END AS steps,
+    CASE WHEN two.n >= {MIN_COUNT} THEN ln(two.n::DOUBLE / before.n)
+      ELSE ln(one.n::DOUBLE / total.n) + CASE WHEN tok.prev IS NULL THEN 0 ELSE ln({BACKOFF}::DOUBLE) END END AS score
+  FROM tok JOIN one ON tok.cur = one.cur LEFT JOIN two ON two.prev = tok.prev AND two.cur = tok.cur
+    LEFT JOIN one AS before ON before.cur = tok.prev, total
+)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, coalesce(sum(steps), 0)::BIGINT AS n_backoff,
+  coalesce(sum(round(score * 1e6)::BIGINT), 0)::BIGINT AS log_micro
+FROM doc LEFT JOIN scored USING (r) GROUP BY r, doc_id, w
+"""
+
 SQL = {
+    "op1_lm": SQL_LM,
     "op2_sharding": SQL_SHARDING,
     "op5_exact_dedup": SQL_EXACT,
     "op9_decontamination": SQL_CONTAMINATION,
