@@ -136,7 +136,7 @@ def vectors(docs: DataFrame) -> np.ndarray:
         return lambda texts: [[features(text).astype("<f4").tobytes() for text in texts]]
 
     rows = map_texts(docs, [T.StructField("x", T.BinaryType())], each).select("x").collect()
-    return np.array([np.frombuffer(row[0], "<f4") for row in rows], float).reshape(len(rows), -1)
+    return np.array([np.frombuffer(row[0], "<f4") for row in rows], float) if rows else np.zeros((0, 0))
 
 
 def train_quality(

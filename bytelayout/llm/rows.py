@@ -104,4 +104,5 @@ def keep_where(
             if batch.num_rows:
                 yield batch.filter(pa.array(work(as_bytes(batch.column(at))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots would not be found
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
