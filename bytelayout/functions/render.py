@@ -66,9 +66,9 @@ def cell_text(kind: Column, value: Column, stored: Column, number_format: Column
     """Display text of a cell: the stored text, else the value by type and format.
 
     `kind` is s (text), n (number), b (boolean) or e (error text). NULL means that
-    a number has a format which is not supported.
+    a number has a format which is not supported, or is no number.
     """
-    number = value.cast("double")
+    number = value.try_cast("double")
     shown: Column = F.lit(None).cast("string")
     wanted = F.coalesce(number_format, F.lit(GENERAL))
     for name in FORMATS:

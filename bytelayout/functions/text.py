@@ -74,8 +74,11 @@ def output_name(name: Column) -> Column:
 
 
 def mask_value(value: Column) -> Column:
-    """Hide ASCII letters and digits of a value that goes into a report."""
-    return F.mask(value, F.lit("x"), F.lit("x"), F.lit("0"))
+    """Hide a value that goes into a report: letters and any other script as x, digits as 0.
+
+    Blanks and ASCII punctuation stay, so that the shape of the value can be seen.
+    """
+    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f\u3000]", "x")
 
 
 def csv_field(value: Column, delimiter: str = ",") -> Column:

@@ -22,6 +22,19 @@ LAYOUT_SCHEMA = (
     "layout_id string, field_index int, required boolean, default_value string, width_bytes int"
 )
 
+# What a settings document must hold: property, kind of its value, allowed values. Checked
+# here for one document and in `operators.layouts` for a column of documents.
+INTEGER, TEXT, FLAG, LIST = "positive whole number", "text", "flag", "filled list"
+Shape = dict[str, tuple[str, tuple | None]]
+DOCUMENT_SHAPE: Shape = {
+    "version": (INTEGER, (VERSION,)),
+    "sourceEncoding": (TEXT, SOURCE_ENCODINGS),
+    "alignment": (TEXT, ALIGNMENTS),
+    "expectedRows": (INTEGER, None),
+    "columns": (LIST, None),
+}
+COLUMN_SHAPE: Shape = {"required": (FLAG, None), "defaultValue": (TEXT, None), "widthBytes": (INTEGER, None)}
+
 
 class InvalidSettings(ValueError):
     """A settings document that does not describe a usable layout."""
@@ -74,7 +87,7 @@ class Layout:
             document = json.loads(text)
         except ValueError as error:
             raise InvalidSettings("the settings document is not JSON") from error
-        if not _is_settings(document):
+        if not _fits(document, DOCUMENT_SHAPE) or not all(_fits(column, COLUMN_SHAPE) for column in document["columns"]):
             raise InvalidSettings("the settings document has a wrong shape or version")
         return cls(
             fields=tuple(
@@ -145,24 +158,17 @@ def _positive_integer(value: Any) -> bool:
     return isinstance(value, int) and value > 0
 
 
-def _is_settings(document: Any) -> bool:
-    if not isinstance(document, dict):
-        return False
-    version = document.get("version")
-    columns = document.get("columns")
-    return (
-        version == VERSION
-        and not isinstance(version, bool)
-        and document.get("sourceEncoding") in SOURCE_ENCODINGS
-        and document.get("alignment") in ALIGNMENTS
-        and _positive_integer(document.get("expectedRows"))
-        and isinstance(columns, list)
-        and len(columns) > 0
-        and all(
-            isinstance(column, dict)
-            and isinstance(column.get("required"), bool)
-            and isinstance(column.get("defaultValue"), str)
-            and _positive_integer(column.get("widthBytes"))
-            for column in columns
-        )
+_FITS = {
+    INTEGER: _positive_integer,
+    TEXT: lambda value: isinstance(value, str),
+    FLAG: lambda value: isinstance(value, bool),
+    LIST: lambda value: isinstance(value, list) and len(value) > 0,
+}
+
+
+def _fits(value: Any, shape: Shape) -> bool:
+    """Whether a JSON value is an object with all properties of a shape."""
+    return isinstance(value, dict) and all(
+        name in value and _FITS[kind](value[name]) and (allowed is None or value[name] in allowed)
+        for name, (kind, allowed) in shape.items()
     )

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bytelayout.layout import ALIGNMENTS, MAX_SETTINGS_BYTES, SOURCE_ENCODINGS, VERSION
+from bytelayout.layout import (
+    COLUMN_SHAPE, DOCUMENT_SHAPE, FLAG, INTEGER, LIST, MAX_SETTINGS_BYTES, TEXT, VERSION, Shape,
+)
 
-COLUMN_TYPE = "array<struct<required:boolean,defaultValue:string,widthBytes:int>>"
+COLUMN_TYPE = "array<struct<required:boolean,defaultValue:string,widthBytes:bigint>>"
 
 
 def running_widths(layouts: DataFrame) -> DataFrame:
@@ -59,20 +61,40 @@ def layout_diff(layouts: DataFrame, reference: DataFrame) -> DataFrame:
     )
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
 def _is_kind(value: Column, kind: str) -> Column:
-    return F.coalesce(_kind(value).startswith(kind), F.lit(False))
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
-def _positive_integer(value: Column) -> Column:
-    numeric = _kind(value).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
+def _is_number(value: Column) -> Column:
+    numeric = F.schema_of_variant(value).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)")
     number = F.try_variant_get(value, "$", "double")
     return F.coalesce(numeric & (number > 0) & (number == F.floor(number)), F.lit(False))
 
 
+def _is_filled(value: Column) -> Column:
+    return _is_kind(value, "ARRAY") & F.coalesce(F.size(F.try_variant_get(value, "$", "array<variant>")) > 0, F.lit(False))
+
+
+_FITS = {
+    INTEGER: _is_number,
+    TEXT: lambda value: _is_kind(value, "STRING"),
+    FLAG: lambda value: _is_kind(value, "BOOLEAN"),
+    LIST: _is_filled,
+}
+
+
+def _fits(value: Column, shape: Shape) -> Column:
+    """Whether a variant is an object with all properties of a shape."""
+    result = _is_kind(value, "OBJECT")
+    for name, (kind, allowed) in shape.items():
+        found = F.try_variant_get(value, f"$.{name}", "variant")
+        result = result & _FITS[kind](found)
+        if allowed is not None:
+            plain = F.try_variant_get(found, "$", "string" if kind == TEXT else "double")
+            result = result & F.coalesce(plain.isin(*allowed), F.lit(False))
+    return result
+
+
 def parse_settings(documents: DataFrame, settings: str = "settings") -> DataFrame:
     """Parse and check a column of settings documents.
 
@@ -91,29 +113,8 @@ def parse_settings(documents: DataFrame, settings: str = "settings") -> DataFram
     def inner(column: Column, name: str, kind: str = "variant") -> Column:
         return F.try_variant_get(column, f"$.{name}", kind)
 
-    def usable(column: Column) -> Column:
-        return (
-            _is_kind(column, "OBJECT")
-            & _is_kind(inner(column, "required"), "BOOLEAN")
-            & _is_kind(inner(column, "defaultValue"), "STRING")
-            & _positive_integer(inner(column, "widthBytes"))
-        )
-
-    version = part("version")
     columns = part("columns", "array<variant>")
-    ok = (
-        _is_kind(F.col("_doc"), "OBJECT")
-        & _positive_integer(version)
-        & (F.try_variant_get(version, "$", "double") == VERSION)
-        & _is_kind(part("sourceEncoding"), "STRING")
-        & part("sourceEncoding", "string").isin(*SOURCE_ENCODINGS)
-        & _is_kind(part("alignment"), "STRING")
-        & part("alignment", "string").isin(*ALIGNMENTS)
-        & _positive_integer(part("expectedRows"))
-        & _is_kind(part("columns"), "ARRAY")
-        & (F.size(columns) > 0)
-        & F.forall(columns, usable)
-    )
+    ok = _fits(F.col("_doc"), DOCUMENT_SHAPE) & F.forall(columns, lambda column: _fits(column, COLUMN_SHAPE))
     layout = F.transform(
         columns,
         lambda column: F.struct(
@@ -121,7 +122,7 @@ def parse_settings(documents: DataFrame, settings: str = "settings") -> DataFram
             F.when(inner(column, "required", "boolean"), "")
             .otherwise(inner(column, "defaultValue", "string"))
             .alias("defaultValue"),
-            inner(column, "widthBytes", "double").cast("int").alias("widthBytes"),
+            inner(column, "widthBytes", "double").cast("bigint").alias("widthBytes"),
         ),
     ).cast(COLUMN_TYPE)
     return (
@@ -136,6 +137,25 @@ def parse_settings(documents: DataFrame, settings: str = "settings") -> DataFram
     )
 
 
+def settings_diff(parsed: DataFrame, reference: DataFrame) -> DataFrame:
+    """Properties in which parsed settings differ from the reference settings of the same id.
+
+    Besides `source_encoding`, `alignment` and `expected_rows`, `columns` is named when the
+    fields differ in number, flags, defaults or widths (`layout_diff` tells in which); ids
+    that only one side has differ in `presence`.
+    """
+    properties = ["source_encoding", "alignment", "expected_rows", "columns"]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.filter("settings_ok").select("layout_id", F.struct(*properties).alias(name))
+
+    both = side(parsed, "left").join(side(reference, "right"), "layout_id", "full")
+    changed = [F.when(~F.col(f"left.{name}").eqNullSafe(F.col(f"right.{name}")), name) for name in properties]
+    missing = F.col("left").isNull() | F.col("right").isNull()
+    differs = F.when(missing, F.array(F.lit("presence"))).otherwise(F.array_compact(F.array(*changed)))
+    return both.select("layout_id", differs.alias("differs")).filter(F.size("differs") > 0)
+
+
 def settings_fields(parsed: DataFrame, layout_id: str = "layout_id") -> DataFrame:
     """The layout table of parsed settings documents, one row per field."""
     return parsed.filter("settings_ok").select(

@@ -13,10 +13,10 @@ from bytelayout.functions.render import cell_text, typed_text
 from bytelayout.layout import FieldSpec, Layout
 from bytelayout.operators.compare import compare_files
 from bytelayout.operators.layouts import (
-    layout_diff, parse_settings, running_widths, settings_fields, settings_json,
+    layout_diff, parse_settings, running_widths, settings_diff, settings_fields, settings_json,
 )
 from bytelayout.operators.profile import (
-    file_digests, profile_fields, profile_files, record_digests, small_file_sha256,
+    file_digests, file_sha256, profile_fields, profile_files, record_digests,
     unencodable_characters,
 )
 from bytelayout.operators.reports import (
@@ -25,11 +25,9 @@ from bytelayout.operators.reports import (
 )
 from bytelayout.operators.validate import validate, with_field_results, with_record
 from bytelayout.plans.convert import convert_csv
-from bytelayout.plans.synth import (
-    CATEGORIES, CITIES, DISTRICTS, FAMILY_NAMES, GIVEN_NAMES, LONG_ADDRESS, LONG_NAME,
-    RECORD_TYPES, REGIONS, STATUSES, STREETS, synthetic_rows, with_faults,
-)
-from bytelayout.session import charset_flags, use_all_cores, work_path
+from bytelayout.plans import synth
+from bytelayout.plans.synth import synthetic_rows, with_faults
+from bytelayout.session import charset_flags, work_path
 from bytelayout.sources.cells import cell_address, cell_issues, dense_rows, sheet_extents
 from bytelayout.sources.csv import describe_csv, read_csv
 from bytelayout.sources.encoding import delimiter_of, newline_of, utf16_hint
@@ -71,12 +69,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table for work that costs more than its rows: only some columns, on all cores."""
-    chosen = table(spark, folder, name)
-    return use_all_cores(chosen.select(*columns) if columns else chosen)
-
-
 def chinese(column: str):
     return F.translate(column, ARABIC, CHINESE)
 
@@ -130,7 +122,7 @@ LINEITEM_FIELDS = [
 
 
 def lineitem_rows(spark: SparkSession, folder: str) -> DataFrame:
-    lines = spread_table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem")
     return table_rows(
         lines, LINEITEM_FIELDS, file_id="l_returnflag",
         source_row=F.col("l_orderkey") * 8 + F.col("l_linenumber"),
@@ -209,7 +201,7 @@ PART = Layout.of_widths([9, 7, 6, 1], expected_rows=80)
 
 def checked_part(spark: SparkSession, folder: str) -> DataFrame:
     rows = table_rows(
-        spread_table(spark, folder, "part"), ["p_name", "p_brand", "p_type", "p_size"],
+        table(spark, folder, "part"), ["p_name", "p_brand", "p_type", "p_size"],
         file_id="p_brand", source_row=F.col("p_partkey") + 1,
     )
     return validate(rows, PART)
@@ -273,7 +265,7 @@ ORDERS = Layout((FieldSpec(1, default_value="N"), FieldSpec(15, required=True),
 
 
 def planted_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spread_table(spark, folder, "orders").withColumns(
+    orders = table(spark, folder, "orders").withColumns(
         {
             "status": F.expr("if(o_orderkey % 5 = 0, '', o_orderstatus)"),
             "priority": F.expr(
@@ -334,7 +326,7 @@ TALK = Layout.of_widths([10, 1_000_000])
 
 
 def planted_talk(spark: SparkSession, folder: str) -> DataFrame:
-    talk = spread_table(spark, folder, "conversations").withColumn("v", F.expr(SPACED))
+    talk = table(spark, folder, "conversations").withColumn("v", F.expr(SPACED))
     return table_rows(
         talk, ["role", "v"], file_id="role", source_row=F.col("conv_id") * 1000 + F.col("turn")
     )
@@ -402,7 +394,7 @@ def row_rules(spark, folder):
 )
 def unencodable_docs(spark, folder):
     with charset_flags(spark):
-        data = spread_table(spark, folder, "documents", "doc_id", "text").withColumn("b", encode_big5(F.col("text")))
+        data = table(spark, folder, "documents").withColumn("b", encode_big5(F.col("text")))
         return data.select(
             "doc_id", F.col("b").isNotNull().alias("encodable"), F.octet_length("b").alias("value_bytes")
         )
@@ -416,7 +408,7 @@ def unencodable_docs(spark, folder):
 )
 def unencodable_chars(spark, folder):
     return unencodable_characters(
-        spread_table(spark, folder, "documents", "lang", "text").withColumnRenamed("text", "value")
+        table(spark, folder, "documents").select("lang", "text").withColumnRenamed("text", "value")
     )
 
 
@@ -428,7 +420,7 @@ def unencodable_chars(spark, folder):
        OR length(text) + length(regexp_replace(text, '[^{HELD}]', '', 'g')) > 100""",
 )
 def blocking_docs(spark, folder):
-    rows = table_rows(spread_table(spark, folder, "documents"), ["text"], file_id="lang", source_row="doc_id")
+    rows = table_rows(table(spark, folder, "documents"), ["text"], file_id="lang", source_row="doc_id")
     errors = row_issues(validate(rows, Layout.of_widths([100]))).filter("severity = 'error'")
     return errors.select(F.col("source_row").alias("doc_id"), "code")
 
@@ -502,7 +494,7 @@ PRIORITY = Layout.of_widths([1, 12, 12])
 
 
 def checked_priorities(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    orders = spread_table(spark, folder, "orders")
+    orders = table(spark, folder, "orders")
     marked = orders.withColumns(
         {
             "status": F.expr("if(o_orderpriority = '1-URGENT' and o_orderkey % 100 = 3, 'XX', o_orderstatus)"),
@@ -551,13 +543,13 @@ def file_gate(spark, folder):
 @query(
     "record_count",
     """SELECT n_nationkey::VARCHAR AS file_id, count(c_custkey) AS actual, 60::BIGINT AS allowed FROM nation
-    LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY n_nationkey HAVING count(c_custkey) <> 60""",
+    LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(c_custkey) <> 60
+    UNION ALL SELECT 'empty', 0, 60""",
 )
 def record_count(spark, folder):
     """Wrong record counts, files without any record among them."""
-    rich = table(spark, folder, "customer").filter("c_acctbal > 9000")
-    rows = table_rows(rich, ["c_name"], file_id="c_nationkey", source_row="c_custkey")
-    files = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("file_id"))
+    rows = table_rows(table(spark, folder, "customer"), ["c_name"], file_id="c_nationkey", source_row="c_custkey")
+    files = table(spark, folder, "nation").selectExpr("explode(array(string(n_nationkey), 'empty')) AS file_id").distinct()
     return count_issues(rows, Layout.of_widths([20], expected_rows=60), files).select(
         "file_id", "actual", "allowed"
     )
@@ -612,16 +604,16 @@ def field_profile(spark, folder):
 @query(
     "file_profile",
     """SELECT 'n' || c_nationkey AS file_id, count(*) AS record_count, min(n)::INTEGER AS min_columns, max(n)::INTEGER
-    AS max_columns FROM (SELECT c_nationkey, CASE c_custkey % 8 WHEN 5 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1
+    AS max_columns, sum(c_custkey)::BIGINT AS size_bytes FROM (SELECT c_nationkey, c_custkey, CASE c_custkey % 8 WHEN 5 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1
     ELSE 3 END AS n FROM customer) GROUP BY c_nationkey""",
 )
 def file_profile(spark, folder):
-    return profile_files(
-        table(spark, folder, "customer").select(
-            F.concat(F.lit("n"), "c_nationkey").alias("file_id"),
-            F.expr(SHAPES.format("array", "")).alias("fields"),
-        )
+    rows = table(spark, folder, "customer").select(
+        F.concat(F.lit("n"), "c_nationkey").alias("file_id"), "c_custkey",
+        F.expr(SHAPES.format("array", "")).alias("fields"),
     )
+    files = rows.groupBy("file_id").agg(F.sum("c_custkey").alias("size"))
+    return profile_files(rows, files)
 
 
 SQL_CUSTOMER_RECORD = (
@@ -670,17 +662,18 @@ def customer_record_digests(spark, folder):
     f"""SELECT c_nationkey::VARCHAR AS file_id, count(*) * 44 AS size_bytes, sha256(string_agg({SQL_CUSTOMER_RECORD} ||
     chr(13) || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_nationkey""",
 )
-def file_sha256(spark, folder):
+def customer_file_sha256(spark, folder):
     made = records(validate(customer_rows(spark, folder), CUSTOMER), CUSTOMER)
-    return small_file_sha256(made, order="source_row")
+    return file_sha256(made, order="source_row")
 
 
 def _sql_tree(levels: int, group: int) -> str:
     level = f"""SELECT c_nationkey::VARCHAR AS file_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1
         AS pos, sha256({SQL_CUSTOMER_RECORD}) AS d, 1 AS n FROM customer"""
-    for _ in range(levels):
-        level = f"""SELECT file_id, pos // {group} AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, sum(n) AS n
-            FROM ({level}) GROUP BY file_id, pos // {group}"""
+    for at in range(levels):
+        whole = "sha256(string_agg(d, '' ORDER BY pos))"
+        level = f"""SELECT file_id, pos // {group} AS pos, {f"CASE WHEN count(*) = 1 THEN max(d) ELSE {whole} END" if at else
+            whole} AS d, sum(n) AS n FROM ({level}) GROUP BY file_id, pos // {group}"""
     return f"SELECT file_id, n::BIGINT AS record_count, (n * 42)::BIGINT AS size_bytes, d AS tree_sha256 FROM ({level})"
 
 
@@ -693,12 +686,12 @@ def file_tree_digest(spark, folder):
 
 @query(
     "mask_values",
-    r"SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' ' || p_brand, '[A-Za-z]', 'x', 'g'), '[0-9]', '0', 'g')"
-    " AS masked FROM part",
+    f"""SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' ' || p_brand || ' ' || {sql_chinese("p_size::VARCHAR")},
+    '[A-Za-z{CHINESE}]', 'x', 'g'), '[0-9]', '0', 'g') AS masked FROM part""",
 )
 def mask_values(spark, folder):
     return table(spark, folder, "part").select(
-        "p_partkey", text.mask_value(F.concat_ws(" ", "p_name", "p_brand")).alias("masked")
+        "p_partkey", text.mask_value(F.concat_ws(" ", "p_name", "p_brand", chinese(F.col("p_size").cast("string")))).alias("masked")
     )
 
 
@@ -756,6 +749,28 @@ def layout_differences(spark, folder):
     )
 
 
+@query(
+    "settings_differences",
+    f"""SELECT layout_id, CASE WHEN least = 0 THEN 'presence' ELSE concat_ws(',', CASE WHEN k % 5 = 1 THEN 'source_encoding' END, CASE WHEN k % 5 = 2 THEN 'alignment'
+    END, CASE WHEN k % 5 = 3 THEN 'expected_rows' END, CASE WHEN n >= 9 THEN 'columns' END) END AS differs FROM (
+      SELECT layout_id, substring(layout_id, 2)::BIGINT AS k, count(*) AS n, min(width_bytes) AS least,
+      min(width_bytes) FILTER (field_index <> 9) AS others FROM ({SQL_LAYOUTS}) GROUP BY layout_id) WHERE others > 0 AND (k % 5 IN (1, 2, 3) OR n >= 9)""",
+)
+def settings_differences(spark, folder):
+    """Settings documents compared with changed ones: encoding, alignment, expected rows, dropped fields."""
+    layouts = order_layouts(spark, folder)
+    turn = F.substring("layout_id", 2, 20).cast("bigint") % 5
+    changed = settings_json(layouts.filter("field_index <> 9")).withColumn(
+        "settings",
+        F.when(turn == 1, F.replace("settings", F.lit('"auto"'), F.lit('"big5"')))
+        .when(turn == 2, F.replace("settings", F.lit('"left"'), F.lit('"right"')))
+        .when(turn == 3, F.replace("settings", F.lit('"expectedRows":200'), F.lit('"expectedRows":3000000000')))
+        .otherwise(F.col("settings")),
+    )
+    found = settings_diff(parse_settings(settings_json(layouts)), parse_settings(changed))
+    return found.select("layout_id", F.array_join("differs", ",").alias("differs"))
+
+
 @query(
     "layout_json",
     f"""SELECT layout_id, '{{"version":2,"sourceEncoding":"auto","alignment":"left","expectedRows":200,"columns":[' ||
@@ -769,19 +784,21 @@ def layout_json(spark, folder):
 @query(
     "settings_checked",
     f"""SELECT *, CASE WHEN required THEN '' ELSE default_value END AS default_value FROM (SELECT layout_id, field_index,
-    required, default_value, width_bytes, min(width_bytes) OVER (PARTITION BY layout_id) AS least,
+    required, default_value, CASE WHEN width_bytes = 5 AND substring(layout_id, 2)::BIGINT % 4 = 3 THEN 3000000000 ELSE
+    width_bytes END::BIGINT AS width_bytes, min(width_bytes) OVER (PARTITION BY layout_id) AS least,
     substring(layout_id, 2)::BIGINT AS k FROM ({SQL_LAYOUTS})) WHERE least > 0 AND k % 4 <> 1 AND k % 4 <> 2""".replace(
         "SELECT *, CASE", "SELECT layout_id, field_index, required, width_bytes, CASE"
     ),
 )
 def settings_checked(spark, folder):
-    """Settings documents parsed and checked; some have a wrong version or a text as number."""
+    """Settings documents parsed and checked; some have a wrong version, a text as number or a huge width."""
     written = settings_json(order_layouts(spark, folder))
     turn = F.substring("layout_id", 2, 20).cast("bigint") % 4
     spoiled = written.withColumn(
         "settings",
         F.when(turn == 1, F.replace("settings", F.lit('"version":2'), F.lit('"version":1')))
         .when(turn == 2, F.replace("settings", F.lit('"expectedRows":200'), F.lit('"expectedRows":"200"')))
+        .when(turn == 3, F.replace("settings", F.lit('"widthBytes":5}'), F.lit('"widthBytes":3000000000}')))
         .otherwise(F.col("settings")),
     )
     return settings_fields(parse_settings(spoiled))
@@ -951,6 +968,34 @@ def convert_files(spark, folder):
     )
 
 
+@query(
+    "convert_tree",
+    f"""SELECT 'part ' || c_nationkey % 5 || '/' || CASE WHEN c_nationkey < 5 THEN '甲 +乙' ELSE 'x' END || c_nationkey // 5 ||
+    '.txt' AS file_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS record_no,
+    {SQL_CUSTOMER_RECORD} AS record FROM customer""",
+)
+def convert_tree(spark, folder):
+    """Folders whose files have the same names, converted and read back per source file."""
+    source, output = work_path(spark, "tree"), work_path(spark, "output")
+    lines = table(spark, folder, "customer").select(
+        F.expr("concat('part ', c_nationkey % 5)").alias("d"),
+        F.expr("concat(if(c_nationkey < 5, '甲 +乙', 'x'), c_nationkey div 5)").alias("f"), "c_custkey",
+        text.csv_record(F.array("c_name", "c_mktsegment", F.col("c_custkey").cast("string"))).alias("value"),
+    )
+    placed = lines.repartition("d", "f").sortWithinPartitions("d", "f", "c_custkey").select("d", "f", "value")
+    placed.write.partitionBy("d", "f").option("lineSep", "\r\n").text(source)
+    # Give the part files the names that their folders stand for.
+    system = spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for at in system.globStatus(path(f"{source}/d=*/f=*/part-*")):
+        name = at.getPath().getParent().getName().removeprefix("f=")
+        target = path(f"{source}/in/{at.getPath().getParent().getParent().getName().removeprefix('d=')}")
+        system.mkdirs(target)
+        system.rename(at.getPath(), path(target, name + ".csv"))
+    convert_csv(spark, f"{source}/in", CUSTOMER, output)
+    return read_records(spark, output, CUSTOMER).select("file_id", "record_no", F.col("record").cast("string").alias("record"))
+
+
 NAMES = """source || '/' || lang || '.' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2
     THEN '.xls' WHEN 3 THEN '.csv.txt' WHEN 4 THEN '.xlsm' ELSE '' END"""
 
@@ -1148,54 +1193,60 @@ def workbook_rows(spark, folder):
 
 # ---------------------------------------------------------------- synthetic data
 
-def _sql_pick(values: tuple[str, ...], salt: int) -> str:
-    listed = ", ".join(f"'{value}'" for value in values)
-    mixed = f"(((n % 1000003) * 48271 + {salt} * 69621) % 2147483647)"
-    return f"list_extract([{listed}], ({mixed} // 8 % {len(values)} + 1)::INTEGER)"
-
-
-def _sql_digits(value: str, length: int) -> str:
-    return f"lpad(right(({value})::VARCHAR, {length}), {length}, '0')"
-
-
-_CITY, _ROAD = _sql_pick(CITIES, 1), f"{_sql_pick(DISTRICTS, 2)} || {_sql_pick(STREETS, 3)}"
-_PLACE = f"{_CITY} || {_ROAD}"
-_HOUSE, _FLOOR = "(n * 17 % 999 + 1)", "(n % 12 + 1)"
-SQL_SYNTHETIC = "SELECT n AS source_row, concat_ws('|', " + ", ".join(
-    [
-        _sql_pick(REGIONS, 6),
-        _sql_pick(CATEGORIES, 7),
-        "CASE WHEN n % 2 = 0 THEN '1' ELSE '0' END",
-        "'TST' || " + _sql_digits("n", 7),
-        f"CASE WHEN n = 1 THEN '{LONG_NAME}' ELSE {_sql_pick(FAMILY_NAMES, 4)} || {_sql_pick(GIVEN_NAMES, 5)} END",
-        f"(n % 35 + 1970) || {_sql_digits('n % 12 + 1', 2)} || {_sql_digits('n % 28 + 1', 2)}",
-        _sql_digits("n", 12),
-        _sql_pick(RECORD_TYPES, 8),
-        f"""CASE WHEN n = 1 THEN '{LONG_ADDRESS}' WHEN n = 2 THEN {_PLACE} || {_HOUSE} || '號,' || {_FLOOR} || '樓'
-            WHEN n = 3 THEN {_PLACE} || {_HOUSE} || '號"測試戶"' || {_FLOOR} || '樓' WHEN n = 4 THEN {_CITY} || ' ' || {_ROAD} || {_HOUSE} || '號 ' || {_FLOOR} || '樓'
-            ELSE {_PLACE} || {_HOUSE} || '號' || {_FLOOR} || '樓' END""",
-        "'FAKE' || " + _sql_digits("n", 11),
-        _sql_digits("n * 7919 % 10000000000", 10),
-        "CASE WHEN n % 3 = 0 THEN 'N' ELSE 'Y' END",
-        f"'2026' || {_sql_digits('(n + 3) % 12 + 1', 2)} || {_sql_digits('(n + 3) % 28 + 1', 2)}",
-        "'B' || " + _sql_digits("n", 7),
-        _sql_pick(STATUSES, 9),
-    ]
-) + ") AS fields FROM (SELECT c_custkey + 1 AS n FROM customer)"
-
-@query("synthetic_records", SQL_SYNTHETIC)
-def synthetic_records(spark, folder):
-    ids = table(spark, folder, "customer").select((F.col("c_custkey") + 1).alias("n"))
-    return synthetic_rows(ids, "n").select("source_row", F.array_join("fields", "|").alias("fields"))
+NARROW = Layout.of_widths([3, 9, 40, 8, 1])
 
 
-@query(
-    "synthetic_faults",
-    """SELECT c_custkey + 1 AS source_row, list_extract([1, 5, 9, 9, 10], (c_custkey % 5 + 1)::INTEGER)::INTEGER AS field_index,
-    CASE WHEN c_custkey % 5 = 3 THEN 'UNENCODABLE_BIG5' ELSE 'WIDTH_OVERFLOW' END AS code,
-    list_extract([2, 14, 122, NULL, 16], (c_custkey % 5 + 1)::INTEGER)::BIGINT AS actual FROM customer""",
-)
-def synthetic_faults(spark, folder):
-    ids = table(spark, folder, "customer").select((F.col("c_custkey") + 1).alias("n"))
-    broken = validate(with_faults(synthetic_rows(ids, "n")), Layout.built_in())
-    return row_issues(broken).select("source_row", "field_index", "code", "actual")
+def _sql_draw(field: int, turn: int) -> str:
+    return f"('0x' || left(md5(n || '/{field}/{turn}'), 8))::BIGINT"
+
+
+def _sql_field(field: int, width: int) -> str:
+    kind, draw = synth.kind_of(width), lambda turn: _sql_draw(field, turn)
+    if kind == "letters":
+        return f"chr((65 + {draw(0)} % 26)::INTEGER)"
+    if kind == "date":
+        return f"strftime(DATE '{synth.FIRST_DAY}' + ({draw(0)} % {synth.DAYS})::INTEGER, '%Y%m%d')"
+    digits = f"({draw(0)} % {10 ** min(width, synth.DIGITS)})::VARCHAR"
+    if kind == "number":
+        return digits
+    longest, size = min(width // 2, synth.CHARACTERS), len(synth.HAN)
+    drawn = " || ".join(f"substr('{synth.HAN}', {draw(at)} % {size} + 1, 1)" for at in range(1, longest + 1))
+    words = f"left({drawn}, {draw(longest + 1)} % {longest} + 1)"
+    if kind == "mixed":
+        listed = ", ".join(f"'{separator}'" for separator in synth.SEPARATORS)
+        words += f" || list_extract([{listed}], ({draw(longest + 2)} % {len(synth.SEPARATORS)} + 1)::INTEGER) || {digits}"
+    filled = f"repeat(substr('{synth.HAN}', n % {size} + 1, 1), {width // 2}) || '{'x' * (width % 2)}'"
+    return f"CASE WHEN n % {synth.FILLED_EVERY} = 0 THEN {filled} ELSE {words} END"
+
+
+def sql_synthetic(layout: Layout) -> str:
+    fields = ", ".join(_sql_field(at, width) for at, width in enumerate(layout.widths, start=1))
+    return f"SELECT n AS source_row, concat_ws('|', {fields}) AS fields FROM (SELECT c_custkey + 1 AS n FROM customer)"
+
+
+def sql_faults(layout: Layout) -> str:
+    count = len(layout.fields)
+    return f"""SELECT n AS source_row, (t // 2 + 1)::INTEGER AS field_index,
+    CASE WHEN t % 2 = 0 THEN 'WIDTH_OVERFLOW' ELSE 'UNENCODABLE_BIG5' END AS code,
+    CASE WHEN t % 2 = 0 THEN list_extract({list(layout.widths)}, (t // 2 + 1)::INTEGER)::BIGINT + 1 END AS actual
+    FROM (SELECT c_custkey + 1 AS n, c_custkey % {2 * count} AS t FROM customer)"""
+
+
+def _numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select((F.col("c_custkey") + 1).alias("n"))
+
+
+def _register_synthetic(suffix: str, layout: Layout) -> None:
+    @query(f"synthetic_records{suffix}", sql_synthetic(layout))
+    def records_of(spark, folder):
+        made = synthetic_rows(_numbers(spark, folder), "n", layout)
+        return made.select("source_row", F.array_join("fields", "|").alias("fields"))
+
+    @query(f"synthetic_faults{suffix}", sql_faults(layout))
+    def faults_of(spark, folder):
+        broken = with_faults(synthetic_rows(_numbers(spark, folder), "n", layout), layout)
+        return row_issues(validate(broken, layout)).select("source_row", "field_index", "code", "actual")
+
+
+_register_synthetic("", Layout.built_in())
+_register_synthetic("_narrow", NARROW)

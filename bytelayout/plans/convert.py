@@ -14,7 +14,7 @@ from bytelayout.operators.validate import ERROR, validate
 from bytelayout.session import materialize
 from bytelayout.sources.csv import read_csv
 from bytelayout.sources.files import admit_files, list_files
-from bytelayout.sources.sink import write_fixed_width
+from bytelayout.sources.sink import relative_path, write_fixed_width
 from bytelayout.sources.xlsx import read_xlsx
 
 
@@ -46,11 +46,12 @@ def check_rows(
 
 def _convert(
     layout: Layout, rows: DataFrame, parsed: DataFrame, malformed: DataFrame, refused: DataFrame,
-    charset: str, output: str | None, mode: str, by_block: bool = False,
+    charset: str, output: str | None, mode: str, path: str | list[str], by_block: bool = False,
 ) -> Conversion:
     validated, summary, issues = check_rows(rows, layout, parsed, charset)
     if output is not None:
-        write_fixed_width(validated, summary, layout, output, by_block=by_block, mode=mode)
+        name = relative_path(rows.sparkSession, path, F.col("file_id"))
+        write_fixed_width(validated, summary, layout, output, by_block=by_block, mode=mode, source_name=name)
     return Conversion(
         validated, summary, malformed.select(*ISSUE_COLUMNS).unionByName(issues), refused
     )
@@ -77,7 +78,7 @@ def convert_csv(
     parsed = source.files.filter("problem is null").select("file_id")
     return _convert(
         layout, source.rows, parsed, source.issues, refused_files(spark, path, max_bytes),
-        charset, output, mode, source.by_block,
+        charset, output, mode, path, source.by_block,
     )
 
 
@@ -90,7 +91,7 @@ def convert_xlsx(
     parsed = source.rows.select("file_id").distinct()
     return _convert(
         layout, source.rows, parsed, source.issues, refused_files(spark, path, max_bytes),
-        charset, output, mode,
+        charset, output, mode, path,
     )
 
 

@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from bytelayout.session import materialize
 
-# A narrow evidence table of this many rows stays well below 100 MB.
-BROADCAST_ROWS = 200_000
+# Measured size up to which a small side is broadcast. A table of splits, some 150 bytes a
+# row, stays below it up to about 100 TB.
+BROADCAST_BYTES = 128 << 20
 SALTS = 64
 
 
-def fits_broadcast(small: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> bool:
-    return small.limit(broadcast_rows + 1).count() <= broadcast_rows
+def table_bytes(small: DataFrame) -> int:
+    """Bytes of a narrow table: its texts and binaries, and 8 for any other value."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 8 if kind in ("string", "binary") else F.lit(8)
+        for name, kind in small.dtypes
+    ]
+    return small.agg(F.sum(sum(sizes, F.lit(0)).cast("bigint"))).first()[0] or 0
+
+
+def fits_broadcast(small: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    return table_bytes(small) <= broadcast_bytes
 
 
 def join_small(
@@ -22,12 +32,12 @@ def join_small(
     on: list[str],
     how: str,
     spread_by: Column | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join `big` to a table with one row per key, by a checked strategy.
 
-    The small side is materialized and counted. It is broadcast only up to
-    `broadcast_rows`. Beyond that both sides are shuffled; with `spread_by` (a
+    The small side is materialized and measured. It is broadcast only up to
+    `broadcast_bytes`. Beyond that both sides are shuffled; with `spread_by` (a
     column that varies within one key) each key is salted so that a file holding
     a large part of all rows is spread over many tasks. `how` must keep only
     left rows: inner, left, left_semi or left_anti.
@@ -35,7 +45,7 @@ def join_small(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
     small = materialize(small)
-    if fits_broadcast(small, broadcast_rows):
+    if fits_broadcast(small, broadcast_bytes):
         return big.join(F.broadcast(small), on, how)
     if spread_by is None:
         return big.join(small, on, how)

@@ -1,111 +1,77 @@
-"""Synthetic records for the built-in layout, made from any table of ids."""
+"""Synthetic records for any layout, made from any table of numbers.
 
-from __future__ import annotations
+What a field holds follows from its width alone, its value from an MD5 of the record
+number and the field, so every engine gives the same records.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The words records are made of; all of them exist in Big5.
-REGIONS = ("A", "B", "C")
-CATEGORIES = ("甲", "乙", "丙", "丁")
-RECORD_TYPES = ("N", "R", "S")
-STATUSES = ("0", "1", "2")
-FAMILY_NAMES = ("方", "江", "何", "周", "徐", "高", "郭", "許", "曾", "鄭")
-GIVEN_NAMES = ("子晴", "文傑", "宜蓁", "冠宇", "柏翰", "詩涵", "家豪", "佩珊")
-CITIES = ("基隆市", "新竹市", "嘉義市", "彰化市", "屏東市")
-DISTRICTS = ("東區", "西區", "南區", "北區", "中區")
-STREETS = ("中山路", "光復路", "復興街", "信義路", "仁愛街", "民生路")
-LONG_NAME = "司馬長子晴"
-LONG_ADDRESS = "".join(("基隆市東區中山路一二三四五六七八九十號" * 4)[:60])
-
-
-def spread(key: Column, salt: int) -> Column:
-    """A number from 0 to 2^31 - 2 that looks random but follows from the key."""
-    return F.pmod(F.pmod(key, F.lit(1_000_003)) * 48_271 + salt * 69_621, F.lit(2_147_483_647))
-
-
-def pick(values: Sequence[str], key: Column, salt: int) -> Column:
-    at = F.pmod(F.floor(spread(key, salt) / 8), F.lit(len(values)))
-    return F.element_at(F.array(*[F.lit(value) for value in values]), (at + 1).cast("int"))
-
-
-def digits(number: Column, length: int) -> Column:
-    """The last `length` digits of a number, with leading zeros."""
-    return F.lpad(F.right(number.cast("string"), F.lit(length)), length, "0")
-
-
-def fake_date(year: Column, key: Column) -> Column:
-    return F.concat(
-        year.cast("string"), digits(F.pmod(key, F.lit(12)) + 1, 2), digits(F.pmod(key, F.lit(28)) + 1, 2)
-    )
-
-
-def synthetic_rows(ids: DataFrame, number: str, file_id: Column | None = None) -> DataFrame:
-    """One valid 15-field record for each value of `number` (1, 2, 3 ...).
-
-    Record 1 fills the name and address exactly; the next ones hold a comma, quotes
-    and spaces in the address.
-    """
+from bytelayout.layout import Layout
+
+# Characters that Big5 holds, and what may stand between text and number.
+HAN = "日月水火木金土山川田人口手目耳心車舟雨雲"
+SEPARATORS = (",", '"', " ", "-", "/")
+LETTERS, CHARACTERS, DIGITS = 3, 6, 9
+FIRST_DAY, DAYS = "1960-01-01", 25_000
+FILLED_EVERY = 11
+NOT_BIG5 = "😀"
+
+
+def kind_of(width: int) -> str:
+    """letters, number, date, text, or mixed (text, a separator that CSV may have to quote, a number)."""
+    if width == 1:
+        return "letters"
+    if width == 8:
+        return "date"
+    if width < 8:
+        return "number"
+    return "text" if width < 2 * CHARACTERS + 1 + DIGITS else "mixed"
+
+
+def draw(number: Column, field: int, turn: int) -> Column:
+    digest = F.md5(F.concat(number.cast("string"), F.lit(f"/{field}/{turn}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
+def synthetic_field(number: Column, field: int, width: int) -> Column:
+    kind = kind_of(width)
+    if kind == "letters":
+        return F.char(draw(number, field, 0) % 26 + 65)
+    if kind == "date":
+        day = F.date_add(F.lit(FIRST_DAY).cast("date"), (draw(number, field, 0) % DAYS).cast("int"))
+        return F.date_format(day, "yyyyMMdd")
+    digits = (draw(number, field, 0) % 10 ** min(width, DIGITS)).cast("string")
+    if kind == "number":
+        return digits
+    longest = min(width // 2, CHARACTERS)
+    characters = [F.substr(F.lit(HAN), (draw(number, field, at) % len(HAN) + 1).cast("int"), F.lit(1)) for at in range(1, longest + 1)]
+    words = F.left(F.concat(*characters), draw(number, field, longest + 1) % longest + 1)
+    if kind == "mixed":
+        separator = F.element_at(F.array(*map(F.lit, SEPARATORS)), (draw(number, field, longest + 2) % len(SEPARATORS) + 1).cast("int"))
+        words = F.concat(words, separator, digits)
+    # Now and then a value takes up the whole width.
+    filled = F.concat(F.repeat(F.substr(F.lit(HAN), (number % len(HAN) + 1).cast("int"), F.lit(1)), width // 2), F.lit("x" * (width % 2)))
+    return F.when(number % FILLED_EVERY == 0, filled).otherwise(words)
+
+
+def synthetic_rows(ids: DataFrame, number: str, layout: Layout, file_id: Column | None = None) -> DataFrame:
+    """One valid record of `layout` for each value of `number` (1, 2, 3 ...)."""
     n = F.col(number).cast("bigint")
-    house = F.pmod(n * 17, F.lit(999)) + 1
-    floor = F.pmod(n, F.lit(12)) + 1
-    city = pick(CITIES, n, 1)
-    road = F.concat(pick(DISTRICTS, n, 2), pick(STREETS, n, 3))
-    place = F.concat(city, road)
-    address = (
-        F.when(n == 1, LONG_ADDRESS)
-        .when(n == 2, F.format_string("%s%d號,%d樓", place, house, floor))
-        .when(n == 3, F.format_string('%s%d號"測試戶"%d樓', place, house, floor))
-        .when(n == 4, F.format_string("%s %s%d號 %d樓", city, road, house, floor))
-        .otherwise(F.format_string("%s%d號%d樓", place, house, floor))
-    )
-    name = F.when(n == 1, LONG_NAME).otherwise(
-        F.concat(pick(FAMILY_NAMES, n, 4), pick(GIVEN_NAMES, n, 5))
-    )
-    fields = F.array(
-        pick(REGIONS, n, 6),
-        pick(CATEGORIES, n, 7),
-        F.when(n % 2 == 0, "1").otherwise("0"),
-        F.concat(F.lit("TST"), digits(n, 7)),
-        name,
-        fake_date(F.pmod(n, F.lit(35)) + 1970, n),
-        digits(n, 12),
-        pick(RECORD_TYPES, n, 8),
-        address,
-        F.concat(F.lit("FAKE"), digits(n, 11)),
-        digits(F.pmod(n * 7919, F.lit(10_000_000_000)), 10),
-        F.when(n % 3 == 0, "N").otherwise("Y"),
-        fake_date(F.lit(2026), n + 3),
-        F.concat(F.lit("B"), digits(n, 7)),
-        pick(STATUSES, n, 9),
-    )
     return ids.select(
         (F.lit("synthetic") if file_id is None else file_id).cast("string").alias("file_id"),
         n.alias("source_row"),
-        fields.alias("fields"),
+        F.array(*[synthetic_field(n, at, width) for at, width in enumerate(layout.widths, start=1)]).alias("fields"),
     )
 
 
-# The planted faults, as (field number, value), one after the other.
-FAULTS = (
-    (1, "AB"),
-    (5, "超過五個中文字"),
-    (9, "測" * 61),
-    (9, "基隆市測試路😀一號"),
-    (10, "FAKE-ID-TOO-LONG"),
-)
-
-
-def with_faults(rows: DataFrame) -> DataFrame:
-    """Every record broken in one of five ways, in turn by its row number."""
-    turn = F.pmod(F.col("source_row") - 1, F.lit(len(FAULTS)))
-
-    def broken(value: Column, at: Column) -> Column:
-        result = value
-        for index, (field, fault) in enumerate(FAULTS):
-            result = F.when((turn == index) & (at == field - 1), fault).otherwise(result)
-        return result
-
-    return rows.withColumn("fields", F.transform("fields", broken))
+def with_faults(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Each record with one fault: in turn, every field one byte too wide, and not encodable."""
+    turn = F.pmod(F.col("source_row") - 1, F.lit(2 * len(layout.fields)))
+    widths = F.array(*map(F.lit, layout.widths))
+    fault = F.when(turn % 2 == 0, F.repeat(F.lit("W"), F.get(widths, (turn / 2).cast("int")) + 1)).otherwise(NOT_BIG5)
+    return rows.withColumn(
+        "fields", F.transform("fields", lambda value, at: F.when(at == F.floor(turn / 2), fault).otherwise(value))
+    )

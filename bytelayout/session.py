@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,13 +41,16 @@ def charset_flags(spark: SparkSession) -> Iterator[None]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: `spark.checkpoint.dir` of the session.
 
-    Only when the cluster names none (as in local tests) a temporary one is set.
+    Where none is named, a session whose executors are threads of this process (as in
+    tests) gets a temporary one; on a cluster that is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-bytelayout-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -62,13 +66,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small evidence table with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a small input that fewer tasks read than there are cores.
-
-    A table of one row group is one task, whatever the number of splits. Inputs
-    with more splits than a few per core are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df

@@ -28,6 +28,7 @@ CELLS_SCHEMA = (
 # Problem texts.
 NO_FORMULA_RESULT = "the formula has no saved result"
 UNKNOWN_FORMAT = "the number format is not supported"
+NO_NUMBER = "the value is not a number"
 TOO_FAR = "the sheet reaches beyond the supported rows or columns"
 EMPTY_SHEET = "the first sheet has no data"
 
@@ -77,6 +78,8 @@ def dense_rows(cells: DataFrame, min_columns: int = 1) -> DataFrame:
         "file_id", "r", "c",
         F.coalesce(cell_text(F.col("type"), F.col("v"), F.col("w"), F.col("z")), F.lit("")).alias("text"),
     )
+    # A cell given twice counts once, with its largest text.
+    shown = shown.groupBy("file_id", "r", "c").agg(F.max("text").alias("text"))
     by_row = shown.groupBy("file_id", "r").agg(
         F.array_sort(F.collect_list(F.struct("c", "text"))).alias("_cells"),
         F.max("c").alias("_last"),
@@ -130,7 +133,11 @@ def cell_issues(cells: DataFrame) -> DataFrame:
     shown = populated(cells).withColumn(
         "_text", cell_text(F.col("type"), F.col("v"), F.col("w"), F.col("z"))
     )
-    problem = F.when(F.col("v").isNull(), NO_FORMULA_RESULT).when(F.col("_text").isNull(), UNKNOWN_FORMAT)
+    problem = (
+        F.when(F.col("v").isNull(), NO_FORMULA_RESULT)
+        .when((F.col("type") == "n") & F.col("w").isNull() & F.col("v").try_cast("double").isNull(), NO_NUMBER)
+        .when(F.col("_text").isNull(), UNKNOWN_FORMAT)
+    )
     named = F.concat(
         F.lit("Cell "), cell_address(F.col("r"), F.col("c")), F.lit(": "), F.col("_problem")
     )

@@ -518,5 +518,5 @@ def read_csv(
             "file_id", "name", "size", "encoding", "label", "ambiguous", "newline", "delimiter",
             "records", "problem",
         ),
-        rows, issues, not any_framed and fits_broadcast(files),
+        rows, issues, not any_framed and fits_broadcast(blocks),
     )

@@ -14,6 +14,11 @@ from bytelayout.sources.lines import block_counts, line_offset, rows_before, sca
 UTF8_MARK = b"\xef\xbb\xbf"
 
 
+def _unescaped(name: Column) -> Column:
+    """A name as it was before it became part of an address; folder names are escaped on their own before."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_records(spark: SparkSession, path: str | list[str], layout: Layout) -> DataFrame:
     """`file_id`, `record_no`, `record` of CRLF-ended files, `well_sized` by the layout.
 
@@ -25,11 +30,7 @@ def read_records(spark: SparkSession, path: str | list[str], layout: Layout) ->
     blocks = block_counts(lines)
     owner = F.when(
         F.col("file_id").rlike("/file=[^/]*/part=[^/]*/[^/]*\\z"),
-        F.url_decode(
-            F.replace(
-                F.regexp_extract("file_id", "/file=([^/]*)/part=", 1), F.lit("+"), F.lit("%2B")
-            )
-        ),
+        _unescaped(_unescaped(F.regexp_extract("file_id", "/file=([^/]*)/part=", 1))),
     ).otherwise(F.col("file_id"))
     ordered = blocks.select(
         F.col("file_id").alias("path"), "block", "lines", "first_at", owner.alias("file_id"),

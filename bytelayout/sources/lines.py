@@ -55,10 +55,10 @@ def line_offset(at: Column, first_at: Column, lines: Column) -> Column:
     )
 
 
-def number_lines(lines: DataFrame, broadcast_rows: int | None = None) -> DataFrame:
+def number_lines(lines: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
     """Add `line_no`, 1 to n in each file."""
     blocks = block_counts(lines).withColumn("_before", rows_before("lines"))
-    options = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
+    options = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     placed = join_small(lines, blocks, ["file_id", "block"], "inner", **options)
     return placed.withColumn(
         "line_no",

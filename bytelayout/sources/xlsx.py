@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytelayout.functions.render import DATE_PATTERNS
 from bytelayout.session import materialize
 from bytelayout.sources.cells import CELLS_SCHEMA, EMPTY_SHEET, SheetSource, sheet_issue, sheet_rows
 from bytelayout.sources.files import admit_files, file_options, file_type, list_files
@@ -23,6 +24,9 @@ NO_SHEET = "the workbook has no sheet"
 WORKBOOKS = "*.[xX][lL][sS]*"
 LEGACY = "the legacy .xls format is not supported"
 
+# Fixed value: days between the origins of the two date systems.
+DAYS_TO_1904 = 1462
+
 # Number format ids every workbook knows without declaring them.
 BUILT_IN_FORMATS = {
     0: "General", 1: "0", 2: "0.00", 9: "0%", 10: "0.00%", 14: "m/d/yy", 49: "@",
@@ -56,8 +60,21 @@ def _number_formats(archive: zipfile.ZipFile, names: set[str]) -> list[str]:
     return []
 
 
-def _first_sheet(archive: zipfile.ZipFile) -> tuple[str, str] | None:
-    workbook = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+def _counts_from_1904(workbook: ElementTree.Element) -> bool:
+    return any(item.get("date1904") in ("1", "true") for item in _find(workbook, "workbookPr"))
+
+
+def _since_1900(value: str, number_format: str) -> str:
+    """A day number of the 1904 system as one of the 1900 system, if it is shown as a date."""
+    if number_format not in DATE_PATTERNS:
+        return value
+    try:
+        return repr(float(value) + DAYS_TO_1904)
+    except ValueError:
+        return value
+
+
+def _first_sheet(archive: zipfile.ZipFile, workbook: ElementTree.Element) -> tuple[str, str] | None:
     sheet = next(_find(workbook, "sheet"), None)
     if sheet is None:
         return None
@@ -83,7 +100,8 @@ def workbook_cells(content: bytes) -> tuple[str, list[tuple]]:
     """Name and populated cells (r, c, type, v, w, f, z) of a workbook's first sheet."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
-        found = _first_sheet(archive)
+        workbook = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        found, from_1904 = _first_sheet(archive, workbook), _counts_from_1904(workbook)
         if found is None:
             raise LookupError(NO_SHEET)
         sheet_name, path = found
@@ -110,6 +128,8 @@ def workbook_cells(content: bytes) -> tuple[str, list[tuple]]:
                 style = int(element.get("s", "0"))
                 number_format = formats[style] if style < len(formats) else "General"
                 kind = {"inlineStr": "s", "str": "s", "d": "s"}.get(kind, kind)
+                if from_1904 and kind == "n" and value is not None:
+                    value = _since_1900(value, number_format)
                 if value is not None or formula is not None:
                     cells.append(
                         (*_position(element.get("r")), kind, value, None, formula, number_format)

@@ -50,12 +50,12 @@ def test_convert_a_folder(spark, tmp_path):
 
 def test_synthetic_records(spark, tmp_path):
     layout = Layout.built_in().with_options(expected_rows=500)
-    rows = synthetic_rows(spark.range(1, 501), "id")
+    rows = synthetic_rows(spark.range(1, 501), "id", layout)
     checked = validate(rows, layout)
     assert issue_table(checked, layout).isEmpty()
     assert summarize(checked, layout).first().output_size == 500 * 210
-    first = rows.filter("source_row = 1").first().fields
-    assert [len(first[4].encode("big5")), len(first[8].encode("big5"))] == [10, 120]
+    filled = rows.filter("source_row = 11").first().fields
+    assert [len(filled[3].encode("big5")), len(filled[8].encode("big5"))] == [10, 120]
     write_csv(rows, str(tmp_path / "csv"))
     part = next((tmp_path / "csv").rglob("part-*.txt"))
     part.rename(part.with_suffix(".csv"))
@@ -63,10 +63,22 @@ def test_synthetic_records(spark, tmp_path):
     back = read_fixed_width(spark, str(tmp_path / "out"), layout).orderBy("record_no").collect()
     assert [row.fields for row in back] == [row.fields for row in rows.orderBy("source_row").collect()]
 
-    broken = validate(with_faults(rows.filter("source_row <= 50")), layout)
-    issues = issue_table(broken, layout.with_options(expected_rows=50)).collect()
-    assert len(issues) == 50
+    broken = validate(with_faults(rows.filter("source_row <= 60"), layout), layout)
+    issues = issue_table(broken, layout.with_options(expected_rows=60)).collect()
+    assert len(issues) == 60
     assert {(r.code, r.field_index) for r in issues} == {
-        ("WIDTH_OVERFLOW", 1), ("WIDTH_OVERFLOW", 5), ("WIDTH_OVERFLOW", 9),
-        ("UNENCODABLE_BIG5", 9), ("WIDTH_OVERFLOW", 10),
+        (code, at) for at in range(1, 16) for code in ("WIDTH_OVERFLOW", "UNENCODABLE_BIG5")
+    }
+
+
+def test_every_source_has_its_own_output(spark, tmp_path):
+    for folder, text in (("a", b"1,x\n"), ("b/c d", b"2,y\n"), ("b", b"3,z\n")):
+        (tmp_path / "in" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / folder / "同 名+.csv").write_bytes(text)
+    (tmp_path / "in" / "a" / "同 名+.CSV").write_bytes(b"4,w\n")
+    layout = Layout.of_widths([2, 2])
+    convert_csv(spark, str(tmp_path / "in"), layout, str(tmp_path / "out"))
+    found = {row.file_id: row.fields for row in read_fixed_width(spark, str(tmp_path / "out"), layout).collect()}
+    assert found == {
+        "a/同 名+.csv.txt": ["1", "x"], "a/同 名+.CSV.txt": ["4", "w"], "b/c d/同 名+.txt": ["2", "y"], "b/同 名+.txt": ["3", "z"],
     }

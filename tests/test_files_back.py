@@ -1,6 +1,8 @@
 """Writing fixed-width files, reading them back, comparing and profiling them."""
 
+import csv
 import hashlib
+import io
 import pathlib
 
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from bytelayout.layout import FieldSpec, Layout
 from bytelayout.operators.compare import compare_files
 from bytelayout.operators.profile import (
-    file_digests, profile_fields, profile_files, record_digests, small_file_sha256,
+    file_digests, profile_fields, profile_files, record_digests, file_sha256,
     unencodable_characters,
 )
 from bytelayout.operators.reports import issue_table, records, summarize
@@ -17,24 +19,32 @@ from bytelayout.sources.csv import read_csv
 from bytelayout.sources.fixed_width import read_fixed_width, read_records
 from bytelayout.sources.sink import write_csv, write_fixed_width, write_report
 
-from test_validate import FIXTURES, rows_of
+from test_validate import made_rows, rows_of
 
 
 def joined_parts(folder):
     return b"".join(part.read_bytes() for part in sorted(pathlib.Path(folder).rglob("part-*.txt")))
 
 
-def test_fixture_to_bytes_and_back(spark, tmp_path):
-    source = read_csv(spark, f"{FIXTURES}/synthetic-valid-200.utf8.csv")
-    layout = Layout.built_in()
+def made_file(folder, data):
+    stream = io.StringIO(newline="")
+    csv.writer(stream).writerows(data)
+    (folder / "made.utf8.csv").write_bytes(stream.getvalue().encode())
+    return str(folder / "made.utf8.csv")
+
+
+def test_to_bytes_and_back(spark, tmp_path):
+    data, layout = made_rows(200), Layout.built_in()
+    expected = b"".join(
+        b"".join(value.encode("big5").ljust(width) for value, width in zip(row, layout.widths)) + b"\r\n" for row in data
+    )
+    source = read_csv(spark, made_file(tmp_path, data))
     checked = validate(source.rows, layout)
     out = str(tmp_path / "out")
     write_fixed_width(checked, summarize(checked, layout), layout, out, rows_per_part=37)
-    folder = tmp_path / "out" / "file=synthetic-valid-200.utf8.txt"
+    folder = tmp_path / "out" / "file=made.utf8.txt"
     assert len(list(folder.rglob("part-*.txt"))) == 6
-    assert hashlib.sha256(joined_parts(folder)).hexdigest() == (
-        "848db222018eee69fc9cff8f236e7f971252855ce9355d1f647356c67db88466"
-    )
+    assert joined_parts(folder) == expected
     whole = str(tmp_path / "whole")
     write_fixed_width(checked, summarize(checked, layout), layout, whole, by_block=source.by_block)
     assert joined_parts(whole) == joined_parts(folder)
@@ -44,15 +54,17 @@ def test_fixture_to_bytes_and_back(spark, tmp_path):
     got = [row.fields for row in back.orderBy("record_no").collect()]
     assert got == [row.fields for row in source.rows.orderBy("source_row").collect()]
     assert {row.file_id for row in back.select("file_id").distinct().collect()} == {
-        "synthetic-valid-200.utf8.txt"
+        "made.utf8.txt"
     }
-    exact = small_file_sha256(records(checked, layout), order="source_row").first()
-    assert exact["size_bytes"] == 42000
-    assert exact["sha256"] == "848db222018eee69fc9cff8f236e7f971252855ce9355d1f647356c67db88466"
+    exact = file_sha256(records(checked, layout), order="source_row").first()
+    assert (exact["size_bytes"], exact["sha256"]) == (42000, hashlib.sha256(expected).hexdigest())
 
 
 def test_nothing_is_written_for_a_file_with_errors(spark, tmp_path):
-    source = read_csv(spark, f"{FIXTURES}/synthetic-invalid-boundaries.utf8.csv")
+    data = made_rows(5)
+    for row in data:
+        row[9] = "N" * 16
+    source = read_csv(spark, made_file(tmp_path, data))
     layout = Layout.built_in().with_options(expected_rows=5)
     checked = validate(source.rows, layout)
     write_fixed_width(checked, summarize(checked, layout), layout, str(tmp_path / "out"))
@@ -108,9 +120,17 @@ def test_digests(spark):
     swapped = records_of(spark, [values[1], values[0], *values[2:]])
     assert one.tree_sha256 != file_digests(swapped, group=4).first().tree_sha256
     assert record_digests(df).orderBy("record_no").first().sha256 == hashlib.sha256(values[0]).hexdigest()
-    exact = small_file_sha256(df).first()
-    assert exact.sha256 == hashlib.sha256(b"".join(values)).hexdigest()
-    assert small_file_sha256(df, max_bytes=100).first().sha256 is None
+    both = df.unionByName(records_of(spark, [b"x", b"", b"y" * 70000], "g"))
+    exact = {row.file_id: (row.size_bytes, row.sha256) for row in file_sha256(both.repartition(3)).collect()}
+    assert exact["f"] == (250, hashlib.sha256(b"".join(values)).hexdigest())
+    assert exact["g"] == (70001, hashlib.sha256(b"x" + b"y" * 70000).hexdigest())
+
+
+def test_one_digest_a_file_whatever_its_size(spark):
+    df = records_of(spark, [b"%d" % n for n in range(100)]).unionByName(records_of(spark, [b"a", b"b"], "g"))
+    many = {row.file_id: row.tree_sha256 for row in file_digests(df, group=2).collect()}
+    assert set(many) == {"f", "g"} and file_digests(df, group=2).count() == 2
+    assert file_digests(df.filter("file_id = 'g'"), group=2).first().tree_sha256 == many["g"]
 
 
 def test_profile(spark):

@@ -14,7 +14,7 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 RELATION = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
-def write_xlsx(path, sheet_data, formats=(), shared=(), sheet_name="資料"):
+def write_xlsx(path, sheet_data, formats=(), shared=(), sheet_name="資料", from_1904=False):
     """A minimal workbook; style n uses formats[n - 1], style 0 is General."""
     custom = "".join(
         f'<numFmt numFmtId="{164 + n}" formatCode="{code}"/>'
@@ -27,7 +27,7 @@ def write_xlsx(path, sheet_data, formats=(), shared=(), sheet_name="資料"):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr(
             "xl/workbook.xml",
-            f'{CONTENT}<workbook xmlns="{MAIN}" xmlns:r="{RELATION}"><sheets>'
+            f'{CONTENT}<workbook xmlns="{MAIN}" xmlns:r="{RELATION}">{'<workbookPr date1904="1"/>' if from_1904 else ""}<sheets>'
             f'<sheet name="{sheet_name}" sheetId="2" r:id="rId7"/><sheet name="b" sheetId="1" r:id="rId1"/>'
             "</sheets></workbook>",
         )
@@ -52,31 +52,44 @@ def write_xlsx(path, sheet_data, formats=(), shared=(), sheet_name="資料"):
 
 def test_workbooks(spark, tmp_path):
     write_xlsx(
-        tmp_path / "formats.xlsx",
-        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" s="1"><v>0.125</v></c><c r="C1" s="2"><v>45292</v></c>'
-        '<c r="D1" t="b"><v>1</v></c><c r="E1" s="3"><f>1+2</f><v>3</v></c><c r="F1" t="s"><v>1</v></c>'
-        '<c r="G1" s="4"><v>45292</v></c><c r="H1" s="4"/></row>'
-        '<row r="2"><c r="A2" t="inlineStr"><is><t>second row</t></is></c>'
-        '<c r="P2" t="str"><v>extra column</v></c></row>',
-        formats=("0.0%", "yyyy-mm-dd", "0.00", 14),
-        shared=("<t>00123</t>", "<r><t>中</t></r><r><t>文</t></r><rPh><t>x</t></rPh>"),
+        tmp_path / "shown.xlsx",
+        '<row r="2"><c r="B2" s="2"><v>38353</v></c><c r="C2" s="1"><v>0.0725</v></c><c r="D2" t="s"><v>1</v></c>'
+        '<c r="E2" t="b"><v>0</v></c><c r="F2" s="4"><v>38353.5</v></c><c r="G2" s="3"><f>7/2</f><v>3.5</v></c><c r="H2" s="4"/></row>'
+        '<row r="3"><c r="A3" t="s"><v>0</v></c><c r="R3" t="str"><v>far right</v></c>'
+        '<c r="B3" t="inlineStr"><is><t>in line</t></is></c></row>',
+        formats=("0.00%", "yyyy-mm-dd", "0.00", 14),
+        shared=("<t>0070 01</t>", "<r><t>臺</t></r><r><t>灣</t></r><rPh><t>x</t></rPh>"),
     )
-    write_xlsx(tmp_path / "formula.xlsx", '<row r="2"><c r="A2"><f>1+2</f></c></row>')
+    write_xlsx(tmp_path / "formula.xlsx", '<row r="3"><c r="C3"><f>SUM(A1:A2)</f></c></row>')
     write_xlsx(tmp_path / "odd.xlsx", '<row r="1"><c r="AB1" s="1"><v>1</v></c></row>', formats=("[h]:mm",))
+    write_xlsx(tmp_path / "nan.xlsx", '<row r="1"><c r="B1"><v>12a</v></c></row>')
     write_xlsx(tmp_path / "empty.xlsx", "")
     write_xlsx(tmp_path / "far.xlsx", '<row r="100001"><c r="A100001"><v>1</v></c></row>')
     (tmp_path / "broken.xlsx").write_bytes(b"PK not a zip")
     (tmp_path / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
-    source = read_xlsx(spark, str(tmp_path), 15)
+    source = read_xlsx(spark, str(tmp_path), 9)
     rows = source.rows.orderBy("source_row").collect()
-    assert {row.file_id.rsplit("/", 1)[1] for row in rows} == {"formats.xlsx"}
-    assert rows[0].fields == ["00123", "12.5%", "2024-01-01", "TRUE", "3.00", "中文", "2024/01/01"] + [""] * 8
-    assert len(rows[1].fields) == 16
-    assert (rows[1].fields[0], rows[1].fields[14], rows[1].fields[15]) == ("second row", "", "extra column")
+    assert {row.file_id.rsplit("/", 1)[1] for row in rows} == {"shown.xlsx"}
+    assert rows[0].fields == [""] * 9
+    assert rows[1].fields == ["", "2005-01-01", "7.25%", "臺灣", "FALSE", "2005/01/01", "3.50", "", ""]
+    assert len(rows[2].fields) == 18
+    assert (rows[2].fields[0], rows[2].fields[1], rows[2].fields[16:]) == ("0070 01", "in line", ["", "far right"])
     issues = {row.file_id.rsplit("/", 1)[1]: row.message for row in source.issues.collect()}
-    assert issues["formula.xlsx"].endswith("Cell A2: the formula has no saved result.")
+    assert issues["formula.xlsx"].endswith("Cell C3: the formula has no saved result.")
+    assert issues["nan.xlsx"].endswith("Cell B1: the value is not a number.")
     assert "Cell AB1" in issues["odd.xlsx"]
-    assert set(issues) == {"formula.xlsx", "odd.xlsx", "empty.xlsx", "far.xlsx", "broken.xlsx", "old.xls"}
+    assert set(issues) == {"formula.xlsx", "odd.xlsx", "nan.xlsx", "empty.xlsx", "far.xlsx", "broken.xlsx", "old.xls"}
+
+
+def test_dates_counted_from_1904(spark, tmp_path):
+    cells = '<row r="1"><c r="A1" s="1"><v>36891</v></c><c r="B1"><v>36891</v></c></row>'
+    write_xlsx(tmp_path / "mac.xlsx", cells, formats=("yyyy-mm-dd",), from_1904=True)
+    assert read_xlsx(spark, str(tmp_path), 2).rows.first().fields == ["2005-01-01", "36891"]
+
+
+def test_a_cell_given_twice(spark):
+    cells = cells_of(spark, [(0, c, "s", v, None, None, None) for c, v in ((0, "1"), (0, "1"), (2, "2"))])
+    assert sheet_rows(cells, 2).rows.first().fields == ["1", "", "2"]
 
 
 def cells_of(spark, cells):
