@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from bytelayout.functions.charset import BIG5 as BIG5_CHARSET
 from bytelayout.functions.charset import REPLACEMENT
-from bytelayout.session import charset_flags
+from bytelayout.plans.joins import join_small
+from bytelayout.session import charset_flags, materialize
 
 UTF8, UTF16LE, UTF16BE, BIG5 = "utf-8", "utf-16le", "utf-16be", "big5"
 
@@ -31,10 +32,14 @@ HINT_FEW = 0.05
 
 UNDECODABLE = "the bytes are not valid in the source encoding"
 
-# No more than spark.sql.optimizer.windowGroupLimitThreshold, up to which Spark trims
-# each map task to its first rows before the shuffle.
+# How much of a file is looked at first: of lines no more than
+# spark.sql.optimizer.windowGroupLimitThreshold, up to which Spark trims each map task to its
+# first rows before the shuffle. Files whose first records are longer are looked at again,
+# with so many times as much, up to what one value can hold.
 HEAD_LINES = 1000
 HEAD_BYTES = 1024 * 1024
+HEAD_GROWTH = 16
+HEAD_MOST = 1 << 30
 SAMPLE_RECORDS = 10
 
 
@@ -56,17 +61,16 @@ def file_evidence(lines: DataFrame) -> DataFrame:
     )
 
 
-def file_heads(lines: DataFrame) -> DataFrame:
-    """The first lines of each file as one binary value of about a mebibyte.
+def file_heads(lines: DataFrame, head_lines: int = HEAD_LINES, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """The first lines of each file as one binary value of about `head_bytes`.
 
     The rank filter trims every map task to the head lines before the shuffle.
     """
-    order = W.partitionBy("file_id").orderBy("at")
+    order = W.partitionBy("file_id").orderBy("block", "at")
     first = (
-        lines.filter("block = 0")
-        .select("file_id", "at", F.substring("line", 1, HEAD_BYTES).alias("line"))
+        lines.select("file_id", "block", "at", F.substring("line", 1, head_bytes).alias("line"))
         .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= HEAD_LINES)
+        .filter(F.col("_rank") <= head_lines)
         .withColumn(
             "_size",
             F.coalesce(
@@ -74,7 +78,7 @@ def file_heads(lines: DataFrame) -> DataFrame:
                 F.lit(0),
             ),
         )
-        .filter(F.col("_size") < HEAD_BYTES)
+        .filter(F.col("_size") < head_bytes)
     )
     hexed = F.array_join(
         F.transform(
@@ -142,11 +146,17 @@ def _single_line_ends(head: Column, newline: Column) -> Column:
 
 
 def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
-    """Delimiter whose number of fields varies least over the first ten records.
+    """Delimiter of a head, see `delimiter_choice`; NULL when none qualifies."""
+    return delimiter_choice(head, newline, whole)["delimiter"]
+
+
+def delimiter_choice(head: Column, newline: Column, whole: Column) -> Column:
+    """Delimiter whose number of fields varies least over the first ten records, and `enough`.
 
     A candidate needs about two fields per record on average; a later one wins only
     if it varies no more and has more fields. NULL when none qualifies. `whole`
-    tells that the head is the full file, so that its last record counts too.
+    tells that the head is the full file, so that its last record counts too; `enough`
+    that the head holds the whole sample for every candidate.
     """
     def judged(text: Column, delimiter: str) -> Column:
         d = f"\\x{ord(delimiter):02x}"
@@ -162,12 +172,14 @@ def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
                 F.slice(records, F.lit(1), F.greatest(F.size(records) - 1, F.lit(1)))
             )
 
-        counts = F.transform(
-            F.slice(_with(found, complete), 1, SAMPLE_RECORDS),
-            lambda r: F.regexp_count(r, F.lit(f"\\G{field}{d}")) + 1,
-        )
+        def counted(records: Column) -> Column:
+            counts = F.transform(
+                F.slice(complete(records), 1, SAMPLE_RECORDS),
+                lambda r: F.regexp_count(r, F.lit(f"\\G{field}{d}")) + 1,
+            )
+            return _with(counts, lambda numbers: judge(numbers, whole | (F.size(records) > SAMPLE_RECORDS)))
 
-        def judge(numbers: Column) -> Column:
+        def judge(numbers: Column, enough: Column) -> Column:
             following = F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0)))
             steps = F.zip_with(
                 following, F.slice(numbers, F.lit(1), F.size(following)), lambda a, b: F.abs(a - b)
@@ -178,9 +190,10 @@ def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
                 F.try_divide(
                     F.aggregate(numbers, F.lit(0), lambda total, n: total + n), F.size(numbers)
                 ).alias("mean"),
+                F.coalesce(enough, F.lit(False)).alias("enough"),
             )
 
-        return _with(counts, judge)
+        return _with(found, counted)
 
     def better(best: Column, other: Column) -> Column:
         wins = (other["mean"] > 1.99) & (
@@ -193,12 +206,18 @@ def delimiter_of(head: Column, newline: Column, whole: Column) -> Column:
         F.lit(None).cast("string").alias("delimiter"),
         F.lit(None).cast("int").alias("change"),
         F.lit(None).cast("double").alias("mean"),
+        F.lit(None).cast("boolean").alias("enough"),
     )
+
+    def choose(judgements: Column) -> Column:
+        return F.struct(
+            F.aggregate(judgements, nothing, better)["delimiter"].alias("delimiter"),
+            F.forall(judgements, lambda judgement: judgement["enough"]).alias("enough"),
+        )
+
     return _with(
         _single_line_ends(head, newline),
-        lambda text: F.aggregate(
-            F.array(*[judged(text, delimiter) for delimiter in DELIMITERS]), nothing, better
-        )["delimiter"],
+        lambda text: _with(F.array(*[judged(text, delimiter) for delimiter in DELIMITERS]), choose),
     )
 
 
@@ -264,10 +283,29 @@ def head_text(head: Column, encoding: Column) -> Column:
 
 
 def describe_files(lines: DataFrame, preference: str = "auto") -> DataFrame:
-    """One row per file: encoding, line end and delimiter, from LF-split raw lines."""
-    evidence = file_evidence(lines).join(file_heads(lines), "file_id")
-    with charset_flags(lines.sparkSession):
-        known = resolve_encoding(evidence, preference)
+    """One row per file: encoding, line end and delimiter, from LF-split raw lines.
+
+    The first ten records decide, however long they are: files whose head does not hold
+    them are looked at again with a larger one.
+    """
+    evidence = materialize(file_evidence(lines))
+    found, pending = None, lines
+    head_lines, head_bytes = HEAD_LINES, HEAD_BYTES
+    while True:
+        last = head_bytes >= HEAD_MOST
+        described = materialize(_described(evidence, file_heads(pending, head_lines, head_bytes), preference, last))
+        done = described.filter("_enough").drop("_enough")
+        found = done if found is None else found.unionByName(done)
+        short = described.filter("NOT _enough").select("file_id")
+        if last or short.isEmpty():
+            return found
+        pending = join_small(lines, short, ["file_id"], "left_semi", spread_by=F.col("at"))
+        head_lines, head_bytes = head_lines * HEAD_GROWTH, head_bytes * HEAD_GROWTH
+
+
+def _described(evidence: DataFrame, heads: DataFrame, preference: str, last: bool) -> DataFrame:
+    with charset_flags(evidence.sparkSession):
+        known = resolve_encoding(evidence.join(heads, "file_id"), preference)
         whole = F.col("raw_lines") == F.col("head_lines")
         cut = F.when(
             whole & ~F.col("terminated"),
@@ -282,6 +320,8 @@ def describe_files(lines: DataFrame, preference: str = "auto") -> DataFrame:
         ended = text.withColumn("newline", newline_of(F.col("_head"))).withColumn(
             "encoding_problem", F.when(broken, UNDECODABLE).otherwise(F.col("encoding_problem"))
         )
-        return ended.withColumn(
-            "delimiter", delimiter_of(F.col("_head"), F.col("newline"), F.col("_whole"))
-        ).drop("head", "_head", "_whole", "head_lines")
+        chosen = ended.withColumn("_choice", delimiter_choice(F.col("_head"), F.col("newline"), F.col("_whole")))
+        enough = F.col("encoding_problem").isNotNull() | F.col("_whole") | F.col("_choice.enough") | F.lit(last)
+        return chosen.withColumn("delimiter", F.col("_choice.delimiter")).withColumn(
+            "_enough", F.coalesce(enough, F.lit(True))
+        ).drop("head", "_head", "_whole", "head_lines", "_choice")

@@ -202,3 +202,12 @@ def test_file_types_and_admission(spark, tmp_path):
     write(tmp_path, a=b"x", **{"b c": b""})
     listed = {row.name: (row.size, row.file_type) for row in list_files(spark, str(tmp_path)).collect()}
     assert listed == {"a.csv": (1, "csv"), "b c.csv": (0, "csv")}
+
+
+def test_first_records_longer_than_any_head(spark, tmp_path):
+    lines = ['"' + "\n".join(f"{n},{k}" for k in range(1500)) + f'";b;{n}\n' for n in range(12)]
+    wide = ["a\t" + "x" * 1_200_000 + f"\t{n}\n" for n in range(12)]
+    folder = write(tmp_path, lines="".join(lines).encode(), wide="".join(wide).encode(), plain=b"a,b\n" * 20)
+    source = read_csv(spark, folder)
+    found = {row.name: (row.delimiter, row.records, row.problem) for row in source.files.collect()}
+    assert found == {"lines.csv": (";", 12, None), "wide.csv": ("\t", 12, None), "plain.csv": (",", 20, None)}
