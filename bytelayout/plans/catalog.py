@@ -996,6 +996,60 @@ def convert_tree(spark, folder):
     return read_records(spark, output, CUSTOMER).select("file_id", "record_no", F.col("record").cast("string").alias("record"))
 
 
+@query(
+    "csv_issues",
+    """WITH f AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey)
+    SELECT 'n' || k AS file_id, CASE k % 5 WHEN 1 THEN 2 WHEN 2 THEN n + 1 END::BIGINT AS source_row, 'MALFORMED_CSV' AS code,
+    0::BIGINT AS usable_rows FROM f WHERE k % 5 <> 0
+    UNION ALL SELECT 'n' || k, NULL, NULL, n FROM f WHERE k % 5 = 0""",
+)
+def csv_issues(spark, folder):
+    """Files with a stray quote, an open quote, bytes of no charset, and no delimiter, beside good ones."""
+    kind, first = F.col("c_nationkey") % 5, F.col("n") == 2
+    parts = ["c_name", "c_mktsegment", "c_custkey"]
+    base = F.when(kind == 4, F.concat_ws("", *parts)).otherwise(F.concat_ws(",", *parts))
+    customers = number_rows(table(spark, folder, "customer"), "c_nationkey", ["c_custkey"]).withColumn("n", F.col("source_row"))
+    lines = customers.select(
+        F.concat(F.lit("n"), "c_nationkey").alias("file_id"), "n",
+        F.when((kind == 1) & first, F.concat(F.lit('"a"b",'), base))
+        .when((kind == 3) & first, F.concat(base, F.unhex(F.lit("FFFF")).cast("string")))
+        .when(kind == 4, F.regexp_replace(base, "[,;|\\t]", "")).otherwise(base).alias("value"),
+    )
+    last = customers.filter(kind == 2).groupBy("c_nationkey").agg(F.max("n").alias("n")).select(
+        F.concat(F.lit("n"), "c_nationkey").alias("file_id"), (F.col("n") + 1).alias("n"), F.lit('x,"open').alias("value")
+    )
+    source = work_path(spark, "broken")
+    placed = lines.unionByName(last).repartition("file_id").sortWithinPartitions("file_id", "n")
+    placed.select("file_id", "value").write.partitionBy("file_id").text(source)
+    parsed = read_csv(spark, source)
+    name = F.regexp_extract("file_id", "/file_id=([^/]*)/", 1).alias("file_id")
+    problems = parsed.issues.select(name, "source_row", "code", F.lit(0).cast("bigint").alias("usable_rows"))
+    used = parsed.rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("usable_rows"))
+    return problems.unionByName(
+        used.select(name, F.lit(None).cast("bigint").alias("source_row"), F.lit(None).cast("string").alias("code"), "usable_rows")
+    )
+
+
+@query(
+    "sheet_issues",
+    """SELECT 'b' || c_custkey // 100 AS file_id, 2::BIGINT AS source_row, (c_custkey % 3 + 1)::INTEGER AS field_index,
+    'Malformed spreadsheet. Cell ' || chr((65 + c_custkey % 3)::INTEGER) || '2: ' || CASE c_custkey % 3 WHEN 0 THEN
+    'the value is not a number' WHEN 1 THEN 'the formula has no saved result' ELSE 'the number format is not supported' END
+    || '.' AS message FROM customer WHERE c_custkey % 100 < 3""",
+)
+def sheet_issues(spark, folder):
+    """Cells with a bad number, a formula without result and an unknown format; cells given twice do no harm."""
+    bad = table(spark, folder, "customer").filter("c_custkey % 100 < 3")
+    turn = F.col("c_custkey") % 3
+    cells = bad.select(
+        F.expr("concat('b', c_custkey div 100)").alias("file_id"), F.lit(0).alias("sheet_index"), F.lit("s").alias("sheet_name"),
+        F.lit(1).alias("r"), turn.cast("int").alias("c"), F.lit("n").alias("type"),
+        F.when(turn == 0, "12a").when(turn == 2, "7").alias("v"), F.lit(None).cast("string").alias("w"),
+        F.when(turn == 1, "A1+1").alias("f"), F.when(turn == 2, "[h]:mm").alias("z"),
+    )
+    return cell_issues(cells).select("file_id", "source_row", "field_index", "message")
+
+
 NAMES = """source || '/' || lang || '.' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2
     THEN '.xls' WHEN 3 THEN '.csv.txt' WHEN 4 THEN '.xlsm' ELSE '' END"""
 
