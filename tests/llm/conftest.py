@@ -1,19 +1,13 @@
-import random
-
 import pytest
 
+from samples import prose
+
 CLASHING = (
     "doc_id2", "mark", "place", "fp", "low", "root", "spans", "needs", "kept", "items", "score", "label", "block", "bucket",
     "shard", "slot", "_id", "_mark", "_bucket", "n_bytes", "prefix", "sha256", "key", "word.count",
 )
 
 
-def prose(seed, words):
-    rng = random.Random(seed)
-    syllables = "ta ri no el mu ö ché st and of the in".split()
-    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(words))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Null ids and texts, empty and very long texts, repeated rows, equal texts, equal ids."""

@@ -13,7 +13,7 @@ import corpus_pipeline  # noqa: E402
 from bytelayout.llm import quality, simhash  # noqa: E402
 from bytelayout.llm.rows import words_of  # noqa: E402
 from bytelayout.llm.queries import VOCABULARY  # noqa: E402
-from conftest import prose  # noqa: E402
+from samples import prose  # noqa: E402
 
 
 def write(spark, folder):
