@@ -57,6 +57,14 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return mixed(hashes)
 
 
+def row_grams(table: np.ndarray) -> np.ndarray:
+    """The same hash of grams given as rows of bytes."""
+    powers = np.ones(table.shape[1], np.uint64)
+    powers[:-1] = BASE
+    powers = np.cumprod(powers[::-1])[::-1]
+    return mixed(((table.astype(np.uint64) + np.uint64(1)) * powers).sum(axis=1, dtype=np.uint64))
+
+
 def select_anchors(raw: np.ndarray, inside: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the grams that the windows with `inside` select."""
     width = length - gram + 1
@@ -229,7 +237,9 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def attach(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     """Texts with the lists of their document: broadcast up to a checked size, else both are shuffled."""
-    size = lists.agg(F.sum(F.lit(48) + sum((F.size(c) * 16 for c, kind in lists.dtypes if kind.startswith("array")), F.lit(0)))).first()[0]
+    bytes_of = {"array<int>": 4, "array<struct<start:int,end:int>>": 32}
+    sizes = [F.size(name) * bytes_of[kind] for name, kind in lists.dtypes if kind in bytes_of]
+    size = lists.agg(F.sum(sum(sizes, F.lit(64)))).first()[0]
     right = lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
     if (size or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
@@ -249,16 +259,18 @@ def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             texts, needs = as_bytes(batch.column("text")), batch.column("needs")
             counts = pc.list_value_length(needs).to_numpy()
-            anchors, at = (part.to_numpy() for part in needs.flatten().flatten())
+            at = needs.flatten().to_numpy()
+            raw, starts, _ = document_starts(texts)
             row = np.repeat(np.arange(batch.num_rows), counts)
             first = np.maximum(at - reach, 0)
             for k in range(0, len(row), 1 << 13):
                 part = slice(k, k + (1 << 13))
                 spans = zip(row[part].tolist(), first[part].tolist(), (at[part] + length).tolist(), strict=True)
                 one = pa.array(row[part])
+                grams = row_grams(gathered(raw, starts[row[part]] + at[part], np.full(len(one), gram), gram))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(anchors[part]), batch.column("doc_id").take(one), batch.column("mark").take(one),
+                        pa.array(grams.view(np.int64)), batch.column("doc_id").take(one), batch.column("mark").take(one),
                         pa.array(first[part].astype(np.int32)), pa.array([texts[r][a:b] for r, a, b in spans], pa.binary()),
                     ],
                     schema.names,
@@ -412,7 +424,9 @@ def repeated_spans(
     )
     lists = materialize(merged_lists(lists, needs=True))
 
-    contexts = context_rows(attach(docs, lists.where(F.size("needs") > 0).select("doc_id", "mark", "needs"), "inner"), length, gram)
+    # Positions only: a gram's hash is made again from the text.
+    needed = lists.where(F.size("needs") > 0).select("doc_id", "mark", F.col("needs.at").alias("needs"))
+    contexts = context_rows(attach(docs, needed, "inner"), length, gram)
     hot = materialize(
         lists.select(F.explode("needs.anchor").alias("anchor")).groupBy("anchor").count()
         .where(F.col("count") > hot_contexts).select("anchor")
