@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytelayout.layout import Layout
 from bytelayout.plans.joins import join_small
+from bytelayout.session import materialize
 from bytelayout.sources.fixed_width import field_bytes
 
 RECORDS_PER_BLOCK = 100_000
@@ -40,16 +41,16 @@ def compare_files(left: DataFrame, right: DataFrame, layout: Layout) -> DataFram
     Both sides hold `file_id`, `record_no` and `record`. Blocks of records are
     compared by fingerprint first; only records of differing blocks are joined.
     """
-    prints = _block_prints(left, "left").join(
-        _block_prints(right, "right"), ["file_id", "_block"], "full"
+    prints = materialize(
+        _block_prints(left, "left").join(_block_prints(right, "right"), ["file_id", "_block"], "full")
     )
-    differing = prints.filter(~F.col("left").eqNullSafe(F.col("right"))).select("file_id", "_block")
+    differing = materialize(prints.filter(~F.col("left").eqNullSafe(F.col("right"))).select("file_id", "_block"))
     block = F.floor((F.col("record_no") - 1) / RECORDS_PER_BLOCK)
 
     def suspects(records: DataFrame, name: str) -> DataFrame:
         chosen = join_small(
             records.withColumn("_block", block), differing, ["file_id", "_block"], "left_semi",
-            spread_by=F.col("record_no"),
+            spread_by=F.col("record_no"), ready=True,
         )
         return chosen.select("file_id", "record_no", F.col("record").alias(name))
 

@@ -33,10 +33,11 @@ def join_small(
     how: str,
     spread_by: Column | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    ready: bool = False,
 ) -> DataFrame:
     """Join `big` to a table with one row per key, by a checked strategy.
 
-    The small side is materialized and measured. It is broadcast only up to
+    The small side is materialized (unless it is `ready`) and measured. It is broadcast only up to
     `broadcast_bytes`. Beyond that both sides are shuffled; with `spread_by` (a
     column that varies within one key) each key is salted so that a file holding
     a large part of all rows is spread over many tasks. `how` must keep only
@@ -44,7 +45,8 @@ def join_small(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    small = materialize(small)
+    if not ready:
+        small = materialize(small)
     if fits_broadcast(small, broadcast_bytes):
         return big.join(F.broadcast(small), on, how)
     if spread_by is None:

@@ -104,7 +104,7 @@ def write_fixed_width(
     Every source file has an output of its own, see `output_names`.
     """
     names = materialize(output_names(summary, source_name))
-    passed = join_small(validated, names, ["file_id"], "inner", spread_by=F.col("source_row"))
+    passed = join_small(validated, names, ["file_id"], "inner", spread_by=F.col("source_row"), ready=True)
     output = records(passed, layout, line_end=False).withColumn("file_id", F.col("name"))
     in_place = by_block and fits_broadcast(names)
     write_records(output, path, rows_per_part=rows_per_part, by_block=by_block, in_place=in_place, mode=mode)
