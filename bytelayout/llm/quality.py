@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytelayout.llm.rows import id_and_text, keep_where, map_texts, named
+from bytelayout.session import materialize
 
 # The model is fitted on the driver, on at most so many rows of either kind.
 SAMPLE_ROWS = 20_000
@@ -123,11 +124,10 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def sampled(rows: DataFrame, key: list[Column], most: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the key, the same ones in every run."""
-    total = rows.count()
-    share = min(1.0, 0.95 * most / max(1, total))
-    return rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most)
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """Some `most` rows, each taken or left by itself, so that nothing is shuffled and repeated rows do not add up."""
+    share = 0.95 * most / max(1, rows.count())
+    return rows if share >= 1 else rows.where(F.rand(11) < share)
 
 
 def vectors(docs: DataFrame) -> np.ndarray:
@@ -157,11 +157,10 @@ def train_quality(
     prior = known.agg(F.avg("label")).first()[0]
     if not prior:
         return None
-    chosen = sampled(known.where("label = 1").select("doc_id"), [F.col("doc_id")], sample_rows)
-    # At most sample_rows ids.
-    positive = vectors(texts.join(F.broadcast(chosen), "doc_id", "left_semi").limit(sample_rows))
-    keys = [F.col("doc_id"), F.octet_length("text"), F.substring("text", 1, 64)]
-    unlabelled = vectors(sampled(texts, keys, sample_rows))
+    # Some sample_rows ids; the rows of an id that repeats are thinned out again.
+    chosen = F.broadcast(materialize(sampled(known.where("label = 1").select("doc_id"), sample_rows)))
+    positive = vectors(sampled(texts.join(chosen, "doc_id", "left_semi"), sample_rows))[:sample_rows]
+    unlabelled = vectors(sampled(texts, sample_rows))[:sample_rows]
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, min(prior, 0.98), seed=seed)
