@@ -14,7 +14,6 @@ met and then looked up.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelayout.llm.rows import id_and_text, map_texts
+from bytelayout.llm.rows import held_by_worker, id_and_text, map_texts
 
 # Bounds of what a Python worker remembers: states start over, pieces leave by age.
-MAX_STATES = 300_000
-MAX_PIECES = 150_000
+MAX_STATES = 160_000
+MAX_PIECES = 60_000
 MAX_PIECE = 32
 DECODE_TOKENS = 4096
 
@@ -41,11 +40,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 Live = tuple[bytes, int, tuple[int, ...]]
 
 
-class State(dict[int, tuple["State", tuple[int, ...]]]):
+class State(dict[int, "State | tuple[State, tuple[int, ...]]"]):
     """Live prefixes, the longest unfinished token first; the last one is all that was read.
 
-    As a dictionary: the byte read to the next state and what is emitted. A transition
-    that was not taken before is made by the transducer.
+    As a dictionary: the byte read to the next state, with what is emitted if anything is.
+    A transition that was not taken before is made by the transducer.
     """
 
     __slots__ = ("live", "rest", "made_by")
@@ -53,8 +52,9 @@ class State(dict[int, tuple["State", tuple[int, ...]]]):
     def __init__(self, live: tuple[Live, ...], made_by: "Transducer") -> None:
         self.live, self.rest, self.made_by = live, live[-1][2], made_by
 
-    def __missing__(self, byte: int) -> tuple["State", tuple[int, ...]]:
-        found = self[byte] = self.made_by.step(self, byte)
+    def __missing__(self, byte: int) -> "State | tuple[State, tuple[int, ...]]":
+        state, emitted = self.made_by.step(self, byte)
+        found = self[byte] = (state, emitted) if emitted else state
         return found
 
 
@@ -66,7 +66,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.open = {token[:size] for token in ranks for size in range(1, len(token))}
         self.max_states = max_states
-        self.joins: dict[tuple[int, int], bool] = {}
+        self.joins: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -90,10 +90,10 @@ class Transducer:
 
     def follows(self, last: int, token: int) -> bool:
         """Whether the two tokens stay as they are when joined; -1 is the start of a piece."""
-        key = (last, token)
+        key = last << 32 | token
         known = self.joins.get(key)
         if known is None:
-            if len(self.joins) >= 4 * self.max_states:
+            if len(self.joins) >= 2 * self.max_states:
                 self.joins.clear()
             parts = ([] if last < 0 else [self.tokens[last]]) + [self.tokens[token]]
             known = self.joins[key] = self.merged(b"".join(parts)) == parts
@@ -130,9 +130,10 @@ class Transducer:
             self.reset()
         state, out = self.root, []
         for byte in piece:
-            state, emitted = state[byte]
-            if emitted:
-                out.extend(emitted)
+            state = state[byte]
+            if state.__class__ is tuple:
+                state, emitted = state
+                out += emitted
         return (*out, *state.rest)
 
 
@@ -209,10 +210,9 @@ class Codec:
         yield stream.close()
 
 
-@functools.lru_cache(maxsize=1)
 def codec(data: bytes, pattern: str) -> Codec:
-    """One per Python worker."""
-    return Codec(read_ranks(data), pattern)
+    """One per Python worker, as long as it works for this operator."""
+    return held_by_worker(("bpe", data, pattern), lambda: Codec(read_ranks(data), pattern))
 
 
 def sent(docs: DataFrame, ranks_path: str) -> Callable[[], bytes]:

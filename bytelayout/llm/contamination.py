@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import ahocorasick
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelayout.llm.rows import FOLD, id_and_text, keep_where, map_texts, words_of
+from bytelayout.llm.rows import FOLD, held_by_worker, id_and_text, keep_where, map_texts, words_of
 
 WINDOW = 10
 # The automaton takes some hundred times its patterns' bytes in every Python worker.
@@ -43,8 +42,11 @@ def framed(words: list[bytes]) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
-@functools.lru_cache(maxsize=2)
 def automaton(items: Items, window: int) -> ahocorasick.Automaton | None:
+    return held_by_worker(("contamination", items, window), lambda: made_automaton(items, window))
+
+
+def made_automaton(items: Items, window: int) -> ahocorasick.Automaton | None:
     """All windows, framed by blanks; the value of one is (bytes, words, items it is in)."""
     found: dict[bytes, tuple[int, set[str]]] = {}
     for item, text in items:

@@ -9,7 +9,6 @@ suppressed. Base phrases are never suppressed.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bytelayout.llm.rows import FOLD, id_and_text, map_texts
+from bytelayout.llm.rows import FOLD, held_by_worker, id_and_text, map_texts
 
 BASE_PHRASES = (
     ("mit", "under the mit license"),
@@ -186,9 +185,8 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     return kept
 
 
-@functools.lru_cache(maxsize=2)
 def scanner(ruleset: tuple[Rule, ...]) -> Scanner:
-    return Scanner(ruleset)
+    return held_by_worker(("licenses", ruleset), lambda: Scanner(ruleset))
 
 
 FIELDS = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from bytelayout.session import materialize
 
+# Rows of an Arrow batch that are worked on at a time, so that only their results and texts are held.
+SLICE_ROWS = 256
+
 # Narrow decision rows that may be broadcast, checked by counting.
 BROADCAST_ROWS = 200_000
 
@@ -22,6 +25,32 @@ FOLD = bytes(
 )
 
 
+_held: dict[Hashable, object] = {}
+_asked: list[bool] = []  # whether the operator of this task asked for what is held
+
+
+def held_by_worker[Made](key: Hashable, make: Callable[[], Made]) -> Made:
+    """What a Python worker keeps between tasks: of all operators only the last one's."""
+    _asked.append(True)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def prepared[Made](each: Callable[[], Made]) -> Made:
+    """`each()` at the start of a task; an operator that keeps nothing lets go of what another one kept."""
+    _asked.clear()
+    made = each()
+    if not _asked:
+        _held.clear()
+    return made
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+
+
 def named(docs: DataFrame, name: str) -> Column:
     """A top-level column by its whole name, dots and all."""
     return docs[f"`{name}`"]
@@ -55,12 +84,11 @@ def map_texts(
     names = [field.name for field in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = each()
-        for batch in batches:
-            if batch.num_rows:
-                columns = work(as_bytes(batch.column("text")))
-                arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
+        work = prepared(each)
+        for batch in slices(batches):
+            columns = work(as_bytes(batch.column("text")))
+            arrays = [pa.array(values, kind) for values, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *names])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -99,10 +127,9 @@ def keep_where(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = each()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(work(as_bytes(batch.column(at))), pa.bool_()))
+        work = prepared(each)
+        for batch in slices(batches):
+            yield batch.filter(pa.array(work(as_bytes(batch.column(at))), pa.bool_()))
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots would not be found
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
