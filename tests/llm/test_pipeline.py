@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import pathlib
+import random
 import sys
 
 import public_tokenizers
@@ -78,3 +79,44 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+
+
+def edited(text, changes, seed):
+    rng = random.Random(seed)
+    tokens = text.split()
+    for at in rng.sample(range(len(tokens)), changes):
+        tokens[at] = f"new{seed}x{at}"
+    return " ".join(tokens)
+
+
+def test_near_copies_equal_brute_force_jaccard(spark, tmp_path):
+    """All pairs of 5-word shingles with a similarity of 0.8 or more, and none below it, in chains and one large group."""
+    docs = [(k, prose(k, 150)) for k in range(60)]
+    docs += [(1000 * n + k, edited(prose(k, 150), n, 1000 * n + k)) for k in range(60) for n in (1, 2, 3, 4, 6, 9)]
+    chain = prose(2000, 200)
+    for k in range(12):  # the ends of the chain are not alike
+        chain = edited(chain, 3, 20000 + k)
+        docs.append((20000 + k, chain))
+    docs += [(30000 + k, edited(prose(3000, 150), 1 + k % 5, 30000 + k)) for k in range(120)]
+    docs += [(40000, None), (40001, ""), (40002, "two words"), (40003, "Two  WORDS")]
+    sets = {}
+    for i, text in docs:
+        tokens = (text or "").lower().split()
+        sets[i] = {tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+                pairs += 1
+    assert pairs > 1000
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(5), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if top(i) == i)
