@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytelayout.llm.rows import id_and_text, named, without
+from bytelayout.llm.rows import id_and_text, named, one_row_each, without
 from bytelayout.session import materialize
 
 # Keys of 12 bytes that may be broadcast, checked by counting; beyond it every text is
@@ -69,9 +69,13 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; see `exact_duplicates`."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("NOT kept").select(
-        F.col("doc_id").alias("_id"), F.col("sha256").alias("_mark")
-    )
+    """One row of `docs` for each text, with all its columns: of the largest id, see `exact_duplicates`.
+
+    Of rows that share this id, or have none, any one stays.
+    """
+    found = exact_duplicates(docs, id_col, text_col).where("group_size > 1")
+    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_mark"), "kept"))
     mark = F.unhex(F.sha2(F.coalesce(named(docs, text_col).cast("string"), F.lit("")), 256))
-    return without(docs, dropped, named(docs, id_col), mark)
+    rest = without(docs, found.where("NOT kept").drop("kept"), named(docs, id_col), mark)
+    repeated = found.where("kept").groupBy("_id", "_mark").count().where("count > 1").drop("count")
+    return one_row_each(rest, repeated, named(rest, id_col), mark)

@@ -120,6 +120,40 @@ def without(docs: DataFrame, dropped: DataFrame, id_value: Column, mark: Column)
     return docs.join(dropped, id_value.eqNullSafe(dropped["_id"]) & (mark == dropped["_mark"]), "left_anti")
 
 
+def one_row_each(docs: DataFrame, repeated: DataFrame, id_value: Column, mark: Column) -> DataFrame:
+    """`docs` with one row for each id and mark among `repeated` (`_id`, `_mark`); all other rows as they are.
+
+    Only rows of repeated ids and marks are moved, reduced to one within a task before.
+    """
+    repeated = materialize(repeated.distinct())
+    if repeated.isEmpty():
+        return docs
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    same = id_value.eqNullSafe(repeated["_id"]) & (mark == repeated["_mark"])
+    names = [f"c{k}" for k in range(len(docs.columns))]  # the key columns must have names of their own
+    twice = docs.join(repeated, same, "left_semi").select("*", id_value.alias("id of row"), mark.alias("mark of row"))
+    once = twice.toDF(*names, "_id", "_mark").dropDuplicates(["_id", "_mark"]).select(*names).toDF(*docs.columns)
+    return docs.join(repeated, same, "left_anti").union(once)
+
+
+def keyed_by_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """`doc_id`, the id with a hash of the text, and `text` of every row; and that hash as a column of `docs`."""
+    mark = F.xxhash64(named(docs, text_col))
+    key = F.struct(named(docs, id_col).alias("id"), mark.alias("mark"))
+    return docs.select(key.alias("doc_id"), named(docs, text_col).alias("text")), mark
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """One row of `docs` for each `component_id` of `found`, whose ids are those of `keyed_by_text`."""
+    found = found.select(
+        F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark"), (F.col("doc_id") == F.col("component_id")).alias("stays")
+    )
+    found = materialize(found.groupBy("_id", "_mark", "stays").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT stays"))
+    rest = without(docs, found.where("NOT stays").select("_id", "_mark"), named(docs, id_col), mark)
+    return one_row_each(rest, found.where("stays").select("_id", "_mark"), named(rest, id_col), mark)
+
+
 def keep_where(
     docs: DataFrame, text_col: str, each: Callable[[], Callable[[list[bytes]], list[bool]]]
 ) -> DataFrame:

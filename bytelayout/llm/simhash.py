@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bytelayout.llm.components import connected
-from bytelayout.llm.rows import id_and_text, map_texts, named, without
+from bytelayout.llm.rows import id_and_text, keyed_by_text, map_texts, one_of_each
 from bytelayout.session import materialize
 
 WORDS = 4
@@ -264,8 +264,6 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """The rows of `docs` with the smallest id (and text hash) of each component, with all their columns."""
-    mark = F.xxhash64(named(docs, text_col))
-    keyed_docs = docs.select(F.struct(named(docs, id_col).alias("id"), mark.alias("mark")).alias("doc_id"), named(docs, text_col).alias("text"))
-    found = near_duplicates(keyed_docs, words=words, bits=bits).where("doc_id <> component_id")
-    return without(docs, found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.mark").alias("_mark")), named(docs, id_col), mark)
+    """The row of `docs` with the smallest id (and text hash) of each component, with all its columns; of equal ones any."""
+    keyed_docs, mark = keyed_by_text(docs, id_col, text_col)
+    return one_of_each(docs, near_duplicates(keyed_docs, words=words, bits=bits), id_col, mark)

@@ -11,7 +11,7 @@ import tiktoken
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
-from bytelayout.llm import quality, simhash  # noqa: E402
+from bytelayout.llm import exact, jaccard, quality, simhash  # noqa: E402
 from bytelayout.llm.rows import words_of  # noqa: E402
 from bytelayout.llm.queries import VOCABULARY  # noqa: E402
 from samples import prose  # noqa: E402
@@ -120,3 +120,18 @@ def test_near_copies_equal_brute_force_jaccard(spark, tmp_path):
     assert pairs > 1000
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(5), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if top(i) == i)
+
+
+def test_one_row_stays_of_equal_ids_and_texts(spark, tmp_path):
+    """A third of the rows without an id and a third with the same one: one row of each text is left."""
+    rows = [(None, prose(1, 80), k) for k in range(30)] + [(7, prose(2, 80), k) for k in range(30)]
+    rows += [(None, prose(3, 80), 0), (None, prose(4, 80), 0), (7, prose(5, 80), 0), (9, None, 0), (9, "", 1)]
+    rows += [(100 + k, prose(100 + k, 80), 0) for k in range(28)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_id.mark` int").repartition(7)
+    expected = sorted({text or "" for _, text, _ in rows})
+    for keep in (exact.drop_exact_duplicates, simhash.drop_near_duplicates, jaccard.drop_similar):
+        found = keep(docs)
+        assert found.columns == docs.columns
+        found = found.collect()
+        assert sorted(r.text or "" for r in found) == expected
+        assert {(r.doc_id, r.text or "", r[2]) for r in found} <= {(i, t or "", k) for i, t, k in rows}
