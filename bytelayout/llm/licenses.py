@@ -2,7 +2,7 @@
 
 A rule is a regular expression over the words of a text, lower-cased and joined by
 single blanks, with a priority and keywords. One automaton over all keywords reads
-each text once; only rules whose keywords all occur are tried. A detection that lies
+each text once; only rules whose keywords all begin a word are tried. A detection that lies
 within one of a higher priority, or within a longer one of the same priority, is
 suppressed. Base phrases are never suppressed.
 """
@@ -29,7 +29,7 @@ BASE_PHRASES = (
 
 @dataclass(frozen=True)
 class Rule:
-    """`keywords`: groups of words; at least one word of each group is in every match."""
+    """`keywords`: groups of words; at least one of each group begins a word of every match."""
 
     label: str
     pattern: str
@@ -53,8 +53,8 @@ NAMES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("bsd-0", "(?:zero clause bsd|0bsd|bsd zero clause)", "0bsd", ("bsd", "0bsd")),
     ("isc", "isc", "isc", ("isc",)),
     ("gpl-1", f"(?:{GNU}gpl|gnu general){VERSION}1(?: 0)?", "gpl 1 0(?: only| or later)?", ("gpl", "gnu")),
-    ("gpl-2", f"(?:{GNU}gpl|gnu general){VERSION}2(?: 0)?", "gpl 2 0(?: only| or later)?", ("gpl", "gnu", "gplv2")),
-    ("gpl-3", f"(?:{GNU}gpl|gnu general){VERSION}3(?: 0)?", "gpl 3 0(?: only| or later)?", ("gpl", "gnu", "gplv3")),
+    ("gpl-2", f"(?:{GNU}gpl|gnu general){VERSION}2(?: 0)?", "gpl 2 0(?: only| or later)?", ("gpl", "gnu")),
+    ("gpl-3", f"(?:{GNU}gpl|gnu general){VERSION}3(?: 0)?", "gpl 3 0(?: only| or later)?", ("gpl", "gnu")),
     ("lgpl-2", f"(?:{GNU}lgpl|gnu (?:lesser|library) general){VERSION}2(?: [01])?", "lgpl 2 [01](?: only| or later)?", ("lgpl", "gnu")),
     ("lgpl-3", f"(?:{GNU}lgpl|gnu lesser general){VERSION}3(?: 0)?", "lgpl 3 0(?: only| or later)?", ("lgpl", "gnu")),
     ("agpl-3", f"(?:{GNU}agpl|gnu affero general){VERSION}3(?: 0)?", "agpl 3 0(?: only| or later)?", ("agpl", "affero")),
@@ -154,8 +154,9 @@ class Scanner:
             for word in groups[0]:
                 self.by_word.setdefault(word, []).append(at)
         self.words = ahocorasick.Automaton()
+        # Open at the end: a pattern may join a version to a name ("lgplv3", "apache2").
         for word in {word for groups in self.needs for group in groups for word in group}:
-            self.words.add_word(f" {word} ", word)
+            self.words.add_word(f" {word}", word)
         self.words.make_automaton()
 
     def detect(self, folded: str) -> list[tuple[int, int, Rule]]:

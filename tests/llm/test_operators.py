@@ -325,6 +325,47 @@ def test_keywords_never_hide_a_match():
         assert plain == set(scan.detect(folded))
 
 
+def drawn(rng, parsed):
+    """A string that a parsed pattern matches."""
+    made = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            made += chr(value)
+        elif kind == "ANY":
+            made += "x"
+        elif kind == "IN":
+            kind, value = rng.choice(value)
+            made += "x" if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif kind == "BRANCH":
+            made += drawn(rng, rng.choice(value[1]))
+        elif kind == "SUBPATTERN":
+            made += drawn(rng, value[3])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            made += "".join(drawn(rng, inner) for _ in range(rng.randint(low, min(high, low + 2))))
+        else:
+            raise ValueError(kind)
+    return made
+
+
+def test_keywords_are_in_every_string_of_a_pattern():
+    rng = random.Random(9)
+    scan = licenses.Scanner(licenses.rules())
+    for rule, pattern in scan.rules:
+        parsed = re._parser.parse(rule.pattern)
+        for _ in range(60):
+            folded = f" {drawn(rng, parsed)} "
+            plain = {(m.start(), m.end()) for m in pattern.finditer(folded)}
+            assert plain and plain == {(a, b) for a, b, r in scan.detect(folded) if r is rule}, (rule.label, folded)
+
+
+@pytest.mark.parametrize("name, label", [("lgplv3", "lgpl-3"), ("lgplv2 1", "lgpl-2"), ("agplv3", "agpl-3"), ("gplv1", "gpl-1"), ("gpl3", "gpl-3"), ("apache2", "apache-2"), ("mpl2", "mpl-2"), ("epl2", "epl-2")])
+def test_versions_joined_to_names(name, label):
+    scan = licenses.Scanner(licenses.rules())
+    assert label in {r.label for _, _, r in licenses.resolve(scan.detect(f" licensed under the {name} license "))}
+
+
 def test_containment_and_priority():
     rule = lambda label, priority, base=False: licenses.Rule(label, "", priority, (), base)
     high, low, base = rule("high", 9), rule("low", 5), rule("base", 1, True)
