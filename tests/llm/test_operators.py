@@ -414,6 +414,20 @@ def test_hits_equal_a_plain_search(spark):
         assert sum(len(words(texts[row.doc_id][s.start : s.end])) for s in row.spans) == row.n_hit
 
 
+def test_items_in_parts_equal_one_automaton(spark, odd):
+    rng = random.Random(11)
+    pool = "a b c é d".split()
+    draw = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(f"i{k}", draw(rng.choice([0, 1, 3, 4, 6, 60]))) for k in range(20)] + [(None, "d d d")]
+    docs = [(k % 70 or None, draw(rng.choice([0, 2, 5, 9, 30])).upper()) for k in range(90)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    whole, parts = ([
+        by_row(contamination.find_contamination(docs, items, window=6, part_bytes=size)),
+        by_row(contamination.drop_contaminated(docs, items, window=6, part_bytes=size)),
+    ] for size in (1 << 20, 150))
+    assert whole == parts and any(row[2] for row in whole[0])
+
+
 def test_items_are_bounded(odd, tests):
     with pytest.raises(ValueError):
         contamination.find_contamination(odd, tests, max_item_bytes=5)
