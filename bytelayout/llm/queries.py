@@ -12,10 +12,13 @@ from bytelayout.llm.exact import exact_duplicates
 from bytelayout.llm.html import extract
 from bytelayout.llm.licenses import scan_licenses
 from bytelayout.llm.lm import BACKOFF, MIN_COUNT, score_documents
+from bytelayout.llm.negatives import hard_negatives
 from bytelayout.llm.quality import THRESHOLD, fold, score_quality, train_quality
 from bytelayout.llm.repeats import remove_repeats
 from bytelayout.llm.sharding import SLOT_BUCKETS, shard
 from bytelayout.llm.simhash import near_duplicates
+from bytelayout.llm.vptree import NEIGHBOURS, nearest
+from bytelayout.llm.whitening import fit_whitening, identity_error, whiten
 
 SHARDS = 16
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -109,6 +112,30 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight principal components of all of them, at unit variance."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors)
+    found = whiten(vectors, model).select("doc_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained())).cast("array<double>")
+    return found.select(
+        F.col("doc_id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation",
+        "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all other vectors to each whose id is divisible by 100."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), NEIGHBOURS)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each vector whose id is divisible by 50; one label in seven ids is wrong on purpose."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives(vectors.withColumn("label", label), F.expr("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_sharding": op2_sharding,
@@ -120,6 +147,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_decontamination": op9_decontamination,
     "op10_repeats": op10_repeats,
+    "op11_whitening": op11_whitening,
+    "op12_neighbours": op12_neighbours,
+    "op13_negatives": op13_negatives,
 }
 
 SQL_SHARDING = f"""
@@ -203,9 +233,45 @@ SELECT doc_id, len(w)::BIGINT AS n_tokens, coalesce(sum(steps), 0)::BIGINT AS n_
 FROM doc LEFT JOIN scored USING (r) GROUP BY r, doc_id, w
 """
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda c: c IS NULL OR NOT isfinite(c)))"
+SQL_NEIGHBOURS = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS e FROM embeddings
+  WHERE {FINITE} AND list_bool_or(list_transform(embedding, lambda c: c <> 0))
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda a, b: a + b)) AS score
+  FROM v AS q, v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= {NEIGHBOURS}
+"""
+
+SQL_NEGATIVES = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {FINITE}
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same,
+    list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * v.x[i]))::BIGINT AS score
+  FROM v AS a, v WHERE a.vec_id % 50 = 0 AND v.vec_id <> a.vec_id AND len(v.x) = len(a.x)
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 SQL = {
     "op1_lm": SQL_LM,
     "op2_sharding": SQL_SHARDING,
     "op5_exact_dedup": SQL_EXACT,
     "op9_decontamination": SQL_CONTAMINATION,
+    "op12_neighbours": SQL_NEIGHBOURS,
+    "op13_negatives": SQL_NEGATIVES,
 }
