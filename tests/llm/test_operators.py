@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from bytelayout.llm import bpe, contamination, exact, html, licenses, lm, quality, queries, repeats, sharding, simhash, suffixes
+from bytelayout.llm import bpe, contamination, exact, html, jaccard, licenses, lm, quality, queries, repeats, sharding, simhash, suffixes
 from bytelayout.llm.components import connected
 
 RANKS = public_tokenizers.path(queries.VOCABULARY)
@@ -42,6 +42,7 @@ OPERATORS = {
     "html": lambda docs, tests: html.extract(docs, "doc_id", "text"),
     "exact": lambda docs, tests: exact.exact_duplicates(docs),
     "simhash": lambda docs, tests: simhash.near_duplicates(docs),
+    "jaccard": lambda docs, tests: jaccard.similar_documents(docs),
     "quality": lambda docs, tests: quality.score_quality(docs, None),
     "licenses": lambda docs, tests: licenses.scan_licenses(docs),
     "contamination": lambda docs, tests: contamination.find_contamination(docs, tests),
@@ -56,7 +57,7 @@ def test_every_row_gives_a_row(odd, odd_rows, none, tests, name):
     assert OPERATORS[name](none, tests).collect() == []
 
 
-@pytest.mark.parametrize("keep", [exact.drop_exact_duplicates, simhash.drop_near_duplicates])
+@pytest.mark.parametrize("keep", [exact.drop_exact_duplicates, simhash.drop_near_duplicates, jaccard.drop_similar])
 def test_dropping_keeps_columns_and_rows_of_other_texts(odd, none, keep):
     kept = keep(odd)
     assert kept.columns == odd.columns and keep(none).collect() == []

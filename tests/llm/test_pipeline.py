@@ -8,10 +8,12 @@ import sys
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from bytelayout.llm import exact, jaccard, quality, simhash  # noqa: E402
+from bytelayout.session import materialize  # noqa: E402
 from bytelayout.llm.rows import words_of  # noqa: E402
 from bytelayout.llm.queries import VOCABULARY  # noqa: E402
 from samples import prose  # noqa: E402
@@ -31,22 +33,35 @@ def write(spark, folder):
     return [(i, text) for i, text, *_ in docs]
 
 
+def components(docs):
+    """The smallest id reachable from each over pairs of 5-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, text in docs:
+        tokens = (text or "").lower().split()
+        sets[i] = {tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {i: top(i) for i in sets}
+
+
 def plain(spark, folder, docs):
     frames = [spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels")]
     model = quality.train_quality(*frames)
     rows = [(i, t or "") for i, t in docs if quality.score_texts(model, [(t or "").encode()])[0] >= 0.3]
     last = {t: max(i for i, other in rows if other == t) for _, t in rows}
     rows = sorted((i, t) for i, t in rows if last[t] == i)
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows}
-    root = {i: i for i in fps}
-    for _ in fps:
-        for a in fps:
-            for b in fps:
-                if ((fps[a] ^ fps[b]) % (1 << 64)).bit_count() <= 4:
-                    root[a] = root[b] = min(root[a], root[b])
-        if all(root[root[i]] == root[i] for i in root):
-            break
-    rows = [(i, t) for i, t in rows if root[i] == i]
+    top = components(rows)
+    rows = [(i, t) for i, t in rows if top[i] == i]
     windows = set()
     for text in (prose(901, 14), prose(77, 3)):
         tokens = words_of(text.encode())
@@ -99,27 +114,36 @@ def test_near_copies_equal_brute_force_jaccard(spark, tmp_path):
         docs.append((20000 + k, chain))
     docs += [(30000 + k, edited(prose(3000, 150), 1 + k % 5, 30000 + k)) for k in range(120)]
     docs += [(40000, None), (40001, ""), (40002, "two words"), (40003, "Two  WORDS")]
-    sets = {}
-    for i, text in docs:
-        tokens = (text or "").lower().split()
-        sets[i] = {tuple(tokens[k : k + 5]) for k in range(max(1, len(tokens) - 4))} if tokens else set()
-    root = {i: i for i in sets}
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    pairs = 0
-    for a in sets:
-        for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                low, high = sorted((top(a), top(b)))
-                root[high] = low
-                pairs += 1
-    assert pairs > 1000
+    top = components(docs)
+    assert len(set(top.values())) < 0.6 * len(docs)
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(5), str(tmp_path))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if top(i) == i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in top if top[i] == i)
+
+
+def test_texts_from_a_template_are_told_apart_by_sketches(spark):
+    """400 texts with a shared half and some near 0.8: few pairs reach their sets, and the result is that of all pairs."""
+    shared = prose(1, 300)
+    docs = [(k, f"{shared} {prose(5000 + k, 75)}") for k in range(300)]
+    docs += [(1000 + k, f"{shared} {prose(5000 + k, 75 - k % 40)} {prose(7000 + k, k % 40)}") for k in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    facts = materialize(jaccard.facts_of(frame, "doc_id", "text", 5))
+    members = facts.select("node", F.explode("keys").alias("key"))
+    held = facts.select("node", "size", "sketch", "held")
+    likely = jaccard.likely_within_keys(members, facts.select("node", F.col("node").alias("root")), held, 0.8)
+    assert likely.count() < 0.1 * 400 * 399 / 2
+    top = components(docs)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()} == top
+
+
+def test_blocks_of_a_key_give_the_same_pairs(spark, monkeypatch):
+    docs = [(k, edited(prose(k % 6, 120), 1 + k % 9, k)) for k in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    expected = {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()}
+    assert expected == components(docs)
+    monkeypatch.setattr(jaccard, "LEFT_ROWS", 7)
+    monkeypatch.setattr(jaccard, "RIGHT_ROWS", 11)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()} == expected
 
 
 def test_one_row_stays_of_equal_ids_and_texts(spark, tmp_path):
