@@ -7,13 +7,13 @@ import random
 import sys
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from bytelayout.llm import exact, jaccard, quality, simhash  # noqa: E402
-from bytelayout.session import materialize  # noqa: E402
 from bytelayout.llm.rows import words_of  # noqa: E402
 from bytelayout.llm.queries import VOCABULARY  # noqa: E402
 from samples import prose  # noqa: E402
@@ -126,11 +126,10 @@ def test_texts_from_a_template_are_told_apart_by_sketches(spark):
     docs = [(k, f"{shared} {prose(5000 + k, 75)}") for k in range(300)]
     docs += [(1000 + k, f"{shared} {prose(5000 + k, 75 - k % 40)} {prose(7000 + k, k % 40)}") for k in range(100)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    facts = materialize(jaccard.facts_of(frame, "doc_id", "text", 5))
-    members = facts.select("node", F.explode("keys").alias("key"))
-    held = facts.select("node", "size", "sketch", "held")
-    likely = jaccard.likely_within_keys(members, facts.select("node", F.col("node").alias("root")), held, 0.8)
-    assert likely.count() < 0.1 * 400 * 399 / 2
+    table = jaccard.facts_of(frame, "doc_id", "text", 5).withColumn("root", F.col("node")).toArrow()
+    both = pa.concat_tables([table.append_column("left", pa.array([side] * len(docs))) for side in (True, False)])
+    links, tried = jaccard.forest_of(both, 0.8)
+    assert len(links) < 400 and tried < 0.1 * 400 * 399 / 2
     top = components(docs)
     assert {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()} == top
 
