@@ -895,6 +895,79 @@ def encoded_roundtrip(spark, folder):
     )
 
 
+LINE_ENDS = {0: "\n", 1: "\r\n", 2: "\r"}
+
+
+@query(
+    "mixed_line_ends",
+    "SELECT 'k' || o_orderkey % 3 || o_orderstatus AS file, row_number() OVER (PARTITION BY o_orderkey % 3, o_orderstatus"
+    " ORDER BY o_orderkey) AS source_row, o_orderkey || '|' || o_orderpriority || '|' || o_totalprice::DECIMAL(18, 2) AS fields FROM orders",
+)
+def mixed_line_ends(spark, folder):
+    """Orders in one folder whose files end their lines with LF, CRLF or CR; each file is only split at its own."""
+    orders = table(spark, folder, "orders").withColumn("file_id", F.expr("concat('k', o_orderkey % 3, o_orderstatus)"))
+    path = work_path(spark, "orders")
+    for kind, line_sep in LINE_ENDS.items():
+        rows = number_rows(orders.where(F.col("o_orderkey") % 3 == kind), "file_id", ["o_orderkey"])
+        fields = F.array(F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_totalprice").cast("decimal(18, 2)").cast("string"))
+        write_records(rows.withColumn("record", text.csv_record(fields)), path, line_sep=line_sep, mode="append")
+    return read_csv(spark, path).rows.select(
+        F.regexp_extract("file_id", "/file=([^/]*)/", 1).alias("file"), "source_row", F.array_join("fields", "|").alias("fields"),
+    )
+
+
+@query(
+    "utf16_files",
+    f"""SELECT 'n' || c_nationkey AS file, CASE WHEN c_nationkey % 2 = 1 THEN 'utf-16be' ELSE 'utf-16le' END AS encoding,
+    c_nationkey % 4 > 1 AS ambiguous, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS source_row,
+    {sql_chinese("c_name")} || '|' || CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment WHEN c_nationkey % 2 = 1 THEN '一ਅ' ELSE 'ਅ一' END
+    || '|' || c_custkey AS fields FROM customer""",
+)
+def utf16_files(spark, folder):
+    """UTF-16 files of both byte orders, with and without a mark, in which the bytes of a line end also occur across two characters."""
+    customers = table(spark, folder, "customer").withColumns({
+        "big": F.col("c_nationkey") % 2 == 1,
+        "second": F.expr("CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment WHEN c_nationkey % 2 = 1 THEN '一ਅ' ELSE 'ਅ一' END"),
+    })
+    rows = number_rows(customers, "c_nationkey", ["c_custkey"]).withColumn(
+        "line", text.csv_record(F.array(chinese("c_name"), "second", F.col("c_custkey").cast("string")))
+    )
+    path = work_path(spark, "customers")
+    with charset_flags(spark):
+        for big, charset, line_sep in ((True, "UTF-16BE", "\0\n"), (False, "UTF-16LE", "\n\0")):
+            mark = F.when((F.col("c_nationkey") % 4 < 2) & (F.col("source_row") == 1), F.lit("\ufeff")).otherwise("")
+            made = rows.where(F.col("big") == big).select(
+                F.concat(F.lit("n"), "c_nationkey").alias("file_id"), "source_row", F.encode(F.concat(mark, "line"), charset).alias("record")
+            )
+            write_records(made, path, line_sep=line_sep, mode="append")
+    source = read_csv(spark, path)
+    shown = source.rows.join(source.files.select("file_id", "encoding", "ambiguous"), "file_id")
+    return shown.select(
+        F.regexp_extract("file_id", "/file=([^/]*)/", 1).alias("file"), "encoding", "ambiguous", "source_row", F.array_join("fields", "|").alias("fields"),
+    )
+
+
+@query(
+    "big5_first_bytes",
+    """SELECT c_nationkey AS file, i AS source_row, CASE i WHEN 1 THEN CASE WHEN c_nationkey = 1 THEN repeat('中', 700000) || c_custkey ELSE '嚜' || '縐' || c_custkey END
+    ELSE 'x' || c_custkey END AS first FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)""",
+)
+def big5_first_bytes(spark, folder):
+    """Big5 files that begin like a UTF-8 mark, and one whose first line is far longer than what is looked at first."""
+    rows = number_rows(table(spark, folder, "customer"), "c_nationkey", ["c_custkey"])
+    long = F.concat(F.repeat(F.lit("中"), 700000), "c_custkey")
+    head = F.when(F.col("c_nationkey") == 1, long).otherwise(F.concat(F.lit("嚜縐"), "c_custkey"))
+    first = F.when(F.col("source_row") == 1, head).otherwise(F.concat(F.lit("x"), "c_custkey"))
+    path = work_path(spark, "customers")
+    with charset_flags(spark):
+        made = rows.select(F.col("c_nationkey").cast("string").alias("file_id"), "source_row", encode_big5(F.concat(first, F.lit(",b,c"))).alias("record"))
+        write_records(made, path, line_sep="\n")
+    source = read_csv(spark, path, "big5")
+    return source.rows.select(
+        F.regexp_extract("file_id", "/file=([^/]*)/", 1).cast("int").alias("file"), "source_row", F.col("fields")[0].alias("first")
+    )
+
+
 @query(
     "line_numbers",
     "SELECT o_orderstatus AS file, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS line_no,"
@@ -1038,14 +1111,20 @@ def csv_issues(spark, folder):
     || '.' AS message FROM customer WHERE c_custkey % 100 < 3""",
 )
 def sheet_issues(spark, folder):
-    """Cells with a bad number, a formula without result and an unknown format; cells given twice do no harm."""
-    bad = table(spark, folder, "customer").filter("c_custkey % 100 < 3")
-    turn = F.col("c_custkey") % 3
-    cells = bad.select(
+    """A cell per customer: three in a hundred have a bad number, a formula without result or an unknown format, the others are good.
+
+    Good cells of every seventh customer are given twice, which does no harm.
+    """
+    customers = table(spark, folder, "customer")
+    place = F.col("c_custkey") % 100
+    bad, turn = place < 3, F.col("c_custkey") % 3
+    times = F.when(~bad & (F.col("c_custkey") % 7 == 0), 2).otherwise(1)
+    cells = customers.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(
         F.expr("concat('b', c_custkey div 100)").alias("file_id"), F.lit(0).alias("sheet_index"), F.lit("s").alias("sheet_name"),
-        F.lit(1).alias("r"), turn.cast("int").alias("c"), F.lit("n").alias("type"),
-        F.when(turn == 0, "12a").when(turn == 2, "7").alias("v"), F.lit(None).cast("string").alias("w"),
-        F.when(turn == 1, "A1+1").alias("f"), F.when(turn == 2, "[h]:mm").alias("z"),
+        F.when(bad, 1).otherwise(place).cast("int").alias("r"), turn.cast("int").alias("c"), F.lit("n").alias("type"),
+        F.when(~bad, F.col("c_acctbal").cast("string")).when(turn == 0, "12a").when(turn == 2, "7").alias("v"),
+        F.lit(None).cast("string").alias("w"),
+        F.when(bad & (turn == 1), "A1+1").alias("f"), F.when(bad & (turn == 2), "[h]:mm").alias("z"),
     )
     return cell_issues(cells).select("file_id", "source_row", "field_index", "message")
 

@@ -22,8 +22,8 @@ from bytelayout.operators.validate import ERROR
 from bytelayout.plans.joins import fits_broadcast, join_small
 from bytelayout.session import charset_flags, materialize
 from bytelayout.sources import encoding as enc
-from bytelayout.sources.files import EMPTY_FILE, TOO_LARGE, file_options, list_files
-from bytelayout.sources.lines import line_offset, rows_before, scan_lines
+from bytelayout.sources.files import EMPTY_FILE, TOO_LARGE, list_files
+from bytelayout.sources.lines import first_lines, line_offset, rows_before, scan_lines
 
 MALFORMED = "MALFORMED_CSV"
 
@@ -113,12 +113,17 @@ def describe_csv(
 ) -> DataFrame:
     """Encoding, line end, delimiter and problem of every file, one small row each.
 
-    What is given is not looked for: with encoding utf-8 or big5, a delimiter and a
-    line end, no file is read here.
+    What is given is not looked for: with encoding utf-8, a delimiter and a line end, no
+    file is read here. Big5 files take one scan even so, since the reader hides three bytes
+    of those that begin like a UTF-8 mark.
     """
     listed = list_files(spark, path, glob)
+    scan = lambda line_sep, files, limit: scan_lines(spark, path, line_sep, glob, files, limit=limit)
     if encoding in ("utf-8", "big5") and delimiter and newline:
-        found = listed.select(
+        marks = listed.select("file_id", F.lit(False).alias("utf8_mark"))
+        if encoding == "big5":
+            marks = enc.file_marks(scan, listed.where("size > 0"))
+        found = marks.select(
             "file_id",
             F.lit(encoding).alias("encoding"),
             F.lit("UTF-8 (chosen)" if encoding == "utf-8" else "Big5 (chosen)").alias("label"),
@@ -126,9 +131,10 @@ def describe_csv(
             F.lit(None).cast("string").alias("encoding_problem"),
             F.lit(newline).alias("newline"),
             F.lit(delimiter).alias("delimiter"),
+            "utf8_mark",
         )
     else:
-        found = enc.describe_files(scan_lines(spark, path, glob=glob), encoding).drop("file_size")
+        found = enc.describe_files(scan, listed.where("size > 0"), encoding).drop("file_size")
         if newline:
             found = found.withColumn("newline", F.lit(newline))
         if delimiter:
@@ -143,73 +149,104 @@ def describe_csv(
     return materialize(
         joined.select(
             "file_id", "name", "size", "encoding", "label", "ambiguous", "newline", "delimiter",
-            problem.alias("problem"),
+            problem.alias("problem"), "utf8_mark",
         )
     )
 
 
 def decoded_lines(
     spark: SparkSession, path: str | list[str], files: DataFrame,
-    kinds: Sequence[tuple[str, bool]], glob: str | None = None,
-) -> DataFrame:
-    """Lines of the usable files, split at their own line end and strictly decoded.
+    kinds: Sequence[tuple[str, str | None, bool]], glob: str | None = None,
+) -> tuple[DataFrame, bool]:
+    """Lines of the usable files, split at their own line end and strictly decoded; and whether all lie where they were read.
 
-    `text` is NULL for a line that does not decode. `kinds` holds the pairs of line
-    end and UTF-16-or-not that occur; each gives one scan of its files.
+    `text` is NULL for a line that does not decode. `kinds` holds what occurs of line end, byte
+    order of UTF-16 (else NULL), and Big5 with the bytes of a UTF-8 mark in front. Each kind
+    gives a scan of its own files, so that no file is split at another one's line end.
     """
-    parts = []
+    parts, in_place = [], True
     columns = ["file_id", "block", "at", "delimiter", "newline", "text"]
-    wanted = files.select("file_id", "encoding", "delimiter", "newline")
-    utf16 = F.col("encoding").isin(enc.UTF16LE, enc.UTF16BE)
+    usable = F.col("problem").isNull()
+    wide = F.when(F.col("encoding").isin(enc.UTF16LE, enc.UTF16BE), F.col("encoding"))
+    hidden = (F.col("encoding") == enc.BIG5) & F.col("utf8_mark")
     with charset_flags(spark):
-        for newline in sorted({line_end for line_end, wide in kinds if not wide}):
-            mine = wanted.filter((F.col("newline") == newline) & ~utf16)
-            lines = join_small(
-                scan_lines(spark, path, newline, glob), mine, ["file_id"], "inner", spread_by=F.col("at")
-            )
-            text = F.when(F.col("encoding") == enc.UTF8, decode_utf8(F.col("line"))).otherwise(
-                decode_big5(F.col("line"))
-            )
-            parts.append(lines.withColumn("text", text).select(columns))
-        if any(wide for _, wide in kinds):
-            whole = spark.read.format("binaryFile").options(**file_options(glob)).load(path)
-            whole = whole.select(F.col("_metadata.file_path").alias("file_id"), "content")
-            contents = join_small(whole, wanted.filter(utf16), ["file_id"], "inner")
-            big_endian = F.col("encoding") == enc.UTF16BE
-            marked = F.when(big_endian, F.col("content").startswith(F.lit(b"\xfe\xff"))).otherwise(
-                F.col("content").startswith(F.lit(b"\xff\xfe"))
-            )
-            data = F.when(marked, F.substring("content", 3, 2**31 - 1)).otherwise(F.col("content"))
-            decoded = contents.withColumn("_data", data).withColumn(
-                "_text",
-                F.when(big_endian, decode_utf16(F.col("_data"), True)).otherwise(
-                    decode_utf16(F.col("_data"), False)
-                ),
-            )
-            pieces = decoded.select(
-                "file_id", "delimiter", "newline",
-                F.when(F.col("_text").isNull(), F.array(F.lit(None).cast("string")))
-                .otherwise(
-                    F.when(F.col("newline") == enc.LF, F.split("_text", "\n", -1))
-                    .when(F.col("newline") == enc.CRLF, F.split("_text", "\r\n", -1))
-                    .otherwise(F.split("_text", "\r", -1))
+        for newline, order, marked in kinds:
+            of_kind = usable & (F.col("newline") == newline) & wide.eqNullSafe(F.lit(order)) & (hidden == marked)
+            of_kind = F.coalesce(of_kind, F.lit(False))
+            mine = files.filter(of_kind).select("file_id", "encoding", "delimiter", "newline")
+            line_sep = _wide_bytes(newline, order).decode("latin-1") if order else newline
+            scanned = scan_lines(spark, path, line_sep, glob, mine, files.filter(~of_kind))
+            lines = join_small(scanned, mine, ["file_id"], "inner", spread_by=F.col("at"))
+            if order:
+                lines, intact = _whole_units(lines, _wide_bytes(newline, order), order)
+                in_place = in_place and intact
+                text = decode_utf16(F.col("line"), order == enc.UTF16BE)
+            else:
+                if marked:
+                    lines = _first_marked(lines).withColumn(
+                        "line", F.when(F.col("first"), F.concat(F.lit(b"\xef\xbb\xbf"), F.col("line"))).otherwise(F.col("line"))
+                    )
+                text = F.when(F.col("encoding") == enc.UTF8, decode_utf8(F.col("line"))).otherwise(
+                    decode_big5(F.col("line"))
                 )
-                .alias("_pieces"),
-            )
-            last = F.element_at("_pieces", -1)
-            kept = F.when(last == "", F.slice("_pieces", F.lit(1), F.size("_pieces") - 1)).otherwise(
-                F.col("_pieces")
-            )
-            parts.append(
-                pieces.select("file_id", "delimiter", "newline", F.posexplode(kept).alias("at", "text"))
-                .withColumn("block", F.lit(0).cast("bigint"))
-                .withColumn("at", F.col("at").cast("bigint"))
-                .select(columns)
-            )
+            parts.append(lines.withColumn("text", text).select(columns))
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    return lines
+    return lines, in_place
+
+
+def _wide_bytes(newline: str, order: str) -> bytes:
+    return newline.encode("utf-16-be" if order == enc.UTF16BE else "utf-16-le")
+
+
+def _first_marked(lines: DataFrame) -> DataFrame:
+    """Add `first`: whether a line is the first one of its file."""
+    placed = join_small(lines, first_lines(lines), ["file_id"], "left", spread_by=F.col("at"))
+    return placed.withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("first_at"))).drop("first_at")
+
+
+def _whole_units(lines: DataFrame, line_sep: bytes, order: str) -> tuple[DataFrame, bool]:
+    """UTF-16 lines without the byte order mark, cut at whole units only; and whether none had to move.
+
+    The reader looks for the bytes of a line end at any place. Where it found them across two units,
+    the piece before is an odd number of bytes long, and so is the piece that ends the line. So a piece
+    goes on with the line before it if it follows an odd number of odd pieces. Blocks are composed by
+    their number of odd pieces, and only files that have any are shuffled, by line.
+    """
+    odd = (F.octet_length("line") % 2).cast("int")
+    blocks = materialize(lines.groupBy("file_id", "block").agg(F.sum(odd).alias("odd"), F.min("at").alias("first_at")))
+    split = materialize(blocks.groupBy("file_id").agg(F.sum("odd").alias("odd")).where("odd > 0").select("file_id"))
+    starts = blocks.where("block = 0").select("file_id", "first_at")
+    placed = join_small(lines, starts, ["file_id"], "left", spread_by=F.col("at"))
+    placed = placed.withColumn("first", (F.col("block") == 0) & (F.col("at") == F.col("first_at"))).drop("first_at")
+    mark = b"\xfe\xff" if order == enc.UTF16BE else b"\xff\xfe"
+    bare = F.when(F.col("first") & F.col("line").startswith(F.lit(mark)), F.substring("line", 3, 2**31 - 1))
+    if split.isEmpty():
+        return placed.withColumn("line", bare.otherwise(F.col("line"))), True
+
+    intact = join_small(placed, split, ["file_id"], "left_anti", ready=True)
+    pieces = join_small(placed, split, ["file_id"], "left_semi", spread_by=F.col("at"), ready=True)
+    entered = materialize(blocks.join(split, "file_id").withColumn("entered", rows_before("odd")).select("file_id", "block", "entered"))
+    order_in_block = W.partitionBy("file_id", "block").orderBy("at")
+    earlier = F.coalesce(F.sum(odd).over(order_in_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = join_small(pieces, entered, ["file_id", "block"], "inner", ready=True)
+    pieces = pieces.withColumn("starts", ((F.col("entered") + earlier) % 2 == 0).cast("int"))
+    counts = materialize(pieces.groupBy("file_id", "block").agg(F.sum("starts").alias("starts")).withColumn("before", rows_before("starts")))
+    pieces = join_small(pieces, counts.drop("starts"), ["file_id", "block"], "inner", ready=True)
+    so_far = F.sum("starts").over(order_in_block.rowsBetween(W.unboundedPreceding, 0))
+    joined = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("block", "at", F.hex("line").alias("hex")))), lambda piece: piece["hex"]),
+        line_sep.hex(),
+    )
+    whole = pieces.withColumn("line_no", F.col("before") + so_far).groupBy("file_id", "line_no").agg(
+        F.min("block").alias("block"), F.unhex(joined).alias("line"), F.max("first").alias("first"),
+        *(F.first(name).alias(name) for name in ("encoding", "delimiter", "newline")),
+    )
+    both = intact.select("file_id", "block", "at", "line", "first", "encoding", "delimiter", "newline").unionByName(
+        whole.withColumnRenamed("line_no", "at")
+    )
+    return both.withColumn("line", bare.otherwise(F.col("line"))), False
 
 
 def _with_quote_states(lines: DataFrame, delimiters: Sequence[str]) -> DataFrame:
@@ -457,8 +494,9 @@ def read_csv(
     files = describe_csv(spark, path, encoding, delimiter, newline, glob, max_bytes)
     usable = files.filter("problem is null")
     variants = usable.select(
-        "newline", "delimiter", F.col("encoding").isin(enc.UTF16LE, enc.UTF16BE).alias("wide")
-    ).distinct().collect()  # at most 3 line ends x 6 delimiters x 2
+        "newline", "delimiter", F.when(F.col("encoding").isin(enc.UTF16LE, enc.UTF16BE), F.col("encoding")).alias("order"),
+        ((F.col("encoding") == enc.BIG5) & F.col("utf8_mark")).alias("hidden"),
+    ).distinct().collect()  # at most 3 line ends x 6 delimiters x 4
     early = files.filter("problem is not null").select(
         *_issue(F.lit(None).cast("bigint"), F.col("problem"))
     )
@@ -468,9 +506,9 @@ def read_csv(
         )
         return CsvSource(files.withColumn("records", F.lit(0).cast("bigint")), rows, early, True)
 
-    kinds = sorted({(row["newline"], row["wide"]) for row in variants})
+    kinds = sorted({(row["newline"], row["order"], row["hidden"]) for row in variants}, key=str)
     delimiters = sorted({row["delimiter"] for row in variants})
-    lines = decoded_lines(spark, path, usable, kinds, glob)
+    lines, in_place = decoded_lines(spark, path, files, kinds, glob)
     blocks = describe_blocks(lines, delimiters)
 
     ends = blocks.groupBy("file_id").agg(
@@ -518,5 +556,5 @@ def read_csv(
             "file_id", "name", "size", "encoding", "label", "ambiguous", "newline", "delimiter",
             "records", "problem",
         ),
-        rows, issues, not any_framed and fits_broadcast(blocks),
+        rows, issues, in_place and not any_framed and fits_broadcast(blocks),
     )

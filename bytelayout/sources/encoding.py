@@ -2,11 +2,15 @@
 
 Two scans give one small row per file: an aggregation over all lines (validity,
 ASCII, byte counts) and the head of each file (byte order marks, zero bytes, line
-end, delimiter). The answers follow by plain expressions.
+end, delimiter). The answers follow by plain expressions. Both scans split files at
+LF and hold no more than `LINE_LIMIT` bytes of a line; files with longer ones are
+looked at again, split at CR, and only those long in that way too are read with lines
+of any length.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bytelayout.functions.charset import BIG5 as BIG5_CHARSET
-from bytelayout.functions.charset import REPLACEMENT
-from bytelayout.plans.joins import join_small
+from bytelayout.functions.charset import decode_big5
 from bytelayout.session import charset_flags, materialize
 
 UTF8, UTF16LE, UTF16BE, BIG5 = "utf-8", "utf-16le", "utf-16be", "big5"
@@ -42,26 +45,41 @@ HEAD_GROWTH = 16
 HEAD_MOST = 1 << 30
 SAMPLE_RECORDS = 10
 
+# Longest line of a first look; a file with CR ends is one line to a scan for LF.
+LINE_LIMIT = 16 << 20
+
+# The raw lines of files: by line separator, restriction to files (`file_id`) and limit of a line.
+Scan = Callable[[str, DataFrame | None, int | None], DataFrame]
+
 
 def file_evidence(lines: DataFrame) -> DataFrame:
     """What all lines of a file say about its encoding.
 
     The reader takes a UTF-8 mark away without a word, so it shows only in the
-    sizes: the file is three bytes longer than its lines and line ends.
+    sizes: the file is three bytes longer than its lines and line ends. `covered` tells
+    that nothing else is missing. Big5 is judged on whole lines, and only on those that
+    are no UTF-8.
     """
     valid = F.is_valid_utf8(F.col("line").cast("string"))
     spare = F.max("file_size") - F.sum(F.octet_length("line")) - F.count(F.lit(1))
-    return lines.groupBy("file_id").agg(
-        F.max("file_size").alias("file_size"),
-        F.count(F.lit(1)).alias("raw_lines"),
-        F.every(valid).alias("utf8_valid"),
-        F.every(valid & (F.octet_length("line") == F.length(F.col("line").cast("string")))).alias("ascii_only"),
-        (spare >= 2).alias("utf8_mark"),
-        spare.isin(0, 3).alias("terminated"),
-    )
+    with charset_flags(lines.sparkSession):
+        big5 = F.when(valid, F.lit(True)).otherwise(decode_big5(F.col("line")).isNotNull())
+        return lines.groupBy("file_id").agg(
+            F.max("file_size").alias("file_size"),
+            F.count(F.lit(1)).alias("raw_lines"),
+            F.every(valid).alias("utf8_valid"),
+            F.every(valid & (F.octet_length("line") == F.length(F.col("line").cast("string")))).alias("ascii_only"),
+            # The first line may lack three bytes; it is judged when it is decoded.
+            (F.count_if(~big5) == F.when((spare >= 2) & F.min_by(~big5, F.struct("block", "at")), 1).otherwise(0)).alias("big5_valid"),
+            (spare >= 2).alias("utf8_mark"),
+            spare.isin(0, 3).alias("terminated"),
+            (spare.isin(-1, 0, 2, 3) & (F.max(F.octet_length("line")) < LINE_LIMIT)).alias("covered"),
+        )
 
 
-def file_heads(lines: DataFrame, head_lines: int = HEAD_LINES, head_bytes: int = HEAD_BYTES) -> DataFrame:
+def file_heads(
+    lines: DataFrame, head_lines: int = HEAD_LINES, head_bytes: int = HEAD_BYTES, line_sep: str = LF
+) -> DataFrame:
     """The first lines of each file as one binary value of about `head_bytes`.
 
     The rank filter trims every map task to the head lines before the shuffle.
@@ -83,7 +101,7 @@ def file_heads(lines: DataFrame, head_lines: int = HEAD_LINES, head_bytes: int =
     hexed = F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct("_rank", F.hex("line").alias("line")))),
-            lambda entry: F.concat(entry["line"], F.lit("0A")),
+            lambda entry: F.concat(entry["line"], F.lit(line_sep.encode().hex())),
         ),
         "",
     )
@@ -282,25 +300,52 @@ def head_text(head: Column, encoding: Column) -> Column:
     return F.ltrim(decoded, F.lit("\ufeff"))
 
 
-def describe_files(lines: DataFrame, preference: str = "auto") -> DataFrame:
-    """One row per file: encoding, line end and delimiter, from LF-split raw lines.
+def describe_files(scan: Scan, files: DataFrame, preference: str = "auto") -> DataFrame:
+    """One row for each of the `files` with a line: encoding, line end and delimiter, from raw lines.
 
     The first ten records decide, however long they are: files whose head does not hold
     them are looked at again with a larger one.
     """
-    evidence = materialize(file_evidence(lines))
-    found, pending = None, lines
-    head_lines, head_bytes = HEAD_LINES, HEAD_BYTES
-    while True:
-        last = head_bytes >= HEAD_MOST
-        described = materialize(_described(evidence, file_heads(pending, head_lines, head_bytes), preference, last))
-        done = described.filter("_enough").drop("_enough")
-        found = done if found is None else found.unionByName(done)
-        short = described.filter("NOT _enough").select("file_id")
-        if last or short.isEmpty():
-            return found
-        pending = join_small(lines, short, ["file_id"], "left_semi", spread_by=F.col("at"))
-        head_lines, head_bytes = head_lines * HEAD_GROWTH, head_bytes * HEAD_GROWTH
+    found = None
+    for line_sep, limit, evidence, pending in _evidence(scan, files):
+        head_lines, head_bytes = HEAD_LINES, HEAD_BYTES
+        while True:
+            last = head_bytes >= HEAD_MOST
+            heads = file_heads(scan(line_sep, pending, limit), head_lines, head_bytes, line_sep)
+            described = materialize(_described(evidence, heads, preference, last))
+            done = described.filter("_enough").drop("_enough")
+            found = done if found is None else found.unionByName(done)
+            pending = described.filter("NOT _enough").select("file_id")
+            if last or pending.isEmpty():
+                break
+            head_lines, head_bytes = head_lines * HEAD_GROWTH, head_bytes * HEAD_GROWTH
+    return found
+
+
+def _evidence(scan: Scan, files: DataFrame) -> list[tuple[str, int | None, DataFrame, DataFrame | None]]:
+    """Separator, limit, evidence and names (None for all files) of each kind of file.
+
+    Lines that are too long may be missing from a scan altogether, and so may a file.
+    """
+    kinds, pending = [], None
+    for line_sep, limit in ((LF, LINE_LIMIT), (CR, LINE_LIMIT), (LF, None)):
+        evidence = materialize(file_evidence(scan(line_sep, pending, limit)))
+        kind = evidence if limit is None else evidence.filter("covered")
+        left = (files if pending is None else pending).select("file_id").join(kind.select("file_id"), "file_id", "left_anti")
+        left = materialize(left)
+        done = left.isEmpty()
+        if (done and not kinds) or not kind.isEmpty():
+            kinds.append((line_sep, limit, kind, None if done and not kinds else kind.select("file_id")))
+        if done:
+            break
+        pending = left
+    return kinds
+
+
+def file_marks(scan: Scan, files: DataFrame) -> DataFrame:
+    """`file_id` and `utf8_mark` of every one of the `files` with a line."""
+    kinds = [evidence.select("file_id", "utf8_mark") for _, _, evidence, _ in _evidence(scan, files)]
+    return functools.reduce(DataFrame.unionByName, kinds)
 
 
 def _described(evidence: DataFrame, heads: DataFrame, preference: str, last: bool) -> DataFrame:
@@ -311,11 +356,13 @@ def _described(evidence: DataFrame, heads: DataFrame, preference: str, last: boo
             whole & ~F.col("terminated"),
             F.substring("head", F.lit(1), F.octet_length("head") - 1),
         ).otherwise(F.col("head"))
+        hidden = (F.col("encoding") == BIG5) & F.col("utf8_mark")
+        bytes_of_head = F.when(hidden, F.concat(F.lit(b"\xef\xbb\xbf"), cut)).otherwise(cut)
         text = known.withColumn("_whole", whole).withColumn(
-            "_head", head_text(cut, F.col("encoding"))
+            "_head", head_text(bytes_of_head, F.col("encoding"))
         )
         broken = ((F.col("encoding") == UTF8) & ~F.col("utf8_valid")) | (
-            (F.col("encoding") == BIG5) & F.contains(F.col("_head"), F.lit(REPLACEMENT))
+            (F.col("encoding") == BIG5) & ~F.col("big5_valid")
         )
         ended = text.withColumn("newline", newline_of(F.col("_head"))).withColumn(
             "encoding_problem", F.when(broken, UNDECODABLE).otherwise(F.col("encoding_problem"))
@@ -324,4 +371,4 @@ def _described(evidence: DataFrame, heads: DataFrame, preference: str, last: boo
         enough = F.col("encoding_problem").isNotNull() | F.col("_whole") | F.col("_choice.enough") | F.lit(last)
         return chosen.withColumn("delimiter", F.col("_choice.delimiter")).withColumn(
             "_enough", F.coalesce(enough, F.lit(True))
-        ).drop("head", "_head", "_whole", "head_lines", "_choice")
+        ).drop("head", "_head", "_whole", "head_lines", "_choice", "covered", "big5_valid")

@@ -16,18 +16,53 @@ from bytelayout.plans.joins import join_small
 from bytelayout.sources.files import file_options
 
 
+# Files that a scan is restricted to by name; beyond it their lines are joined away.
+LISTED = 10_000
+
+
 def scan_lines(
-    spark: SparkSession, path: str | list[str], line_sep: str = "\n", glob: str | None = None
+    spark: SparkSession, path: str | list[str], line_sep: str = "\n", glob: str | None = None,
+    files: DataFrame | None = None, others: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """`file_id`, `block` (first byte of the split), `at` (order in it), `line` (bytes)."""
-    text = spark.read.option("lineSep", line_sep).options(**file_options(glob)).text(path)
-    return text.select(
-        F.col("_metadata.file_path").alias("file_id"),
+    """`file_id`, `block` (first byte of the split), `at` (order in it), `line` (bytes).
+
+    With `files` only those are read, with `others` all but those, whichever table names no more
+    than `LISTED`; with more, all files are read and those of `files` kept. Of a line longer
+    than `limit` bytes no more than about so much is held at a time, and some of it is missing.
+    """
+    reader = spark.read.option("lineSep", line_sep).options(**file_options(glob))
+    if limit is not None:
+        reader = reader.option("mapreduce.input.linerecordreader.line.maxlength", limit)
+    text, named = reader.text(path), F.col("_metadata.file_path")
+    listed = _names(files)
+    if listed is not None:
+        text = text.where(named.isin(listed) if listed else F.lit(False))
+    else:
+        unlisted = _names(others)
+        if unlisted:
+            text = text.where(~named.isin(unlisted))
+    lines = text.select(
+        named.alias("file_id"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         F.col("value").cast("binary").alias("line"),
     )
+    if files is not None and listed is None:
+        lines = join_small(lines, files.select("file_id"), ["file_id"], "left_semi", spread_by=F.col("at"))
+    return lines
+
+
+def _names(files: DataFrame | None) -> list[str] | None:
+    if files is None:
+        return None
+    names = [row.file_id for row in files.select("file_id").limit(LISTED + 1).collect()]
+    return names if len(names) <= LISTED else None
+
+
+def first_lines(lines: DataFrame) -> DataFrame:
+    """`file_id` and `first_at`, the id of the first line of every file."""
+    return lines.where("block = 0").groupBy("file_id").agg(F.min("at").alias("first_at"))
 
 
 def rows_before(count: str, order: str = "block") -> Column:

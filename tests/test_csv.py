@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bytelayout.layout import Layout
 from bytelayout.operators.reports import records, summarize
 from bytelayout.operators.validate import validate
+from bytelayout.sources import encoding, lines
 from bytelayout.sources.csv import Grammar, read_csv
 from bytelayout.sources.encoding import delimiter_of, newline_of, utf16_hint
 from bytelayout.sources.files import admission_problem, file_type, list_files
@@ -211,3 +212,93 @@ def test_first_records_longer_than_any_head(spark, tmp_path):
     source = read_csv(spark, folder)
     found = {row.name: (row.delimiter, row.records, row.problem) for row in source.files.collect()}
     assert found == {"lines.csv": (";", 12, None), "wide.csv": ("\t", 12, None), "plain.csv": (",", 20, None)}
+
+
+def small_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def splits(spark):
+    yield lambda size: small_splits(spark, size)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_each_file_is_split_at_its_own_line_end(spark, tmp_path, splits, monkeypatch):
+    """A CR file is a single line to a scan for LF; it is not held, and the scan for CR does not touch the others."""
+    rows = [[str(k), "x" * (k % 40), "中"] for k in range(3000)]
+    ends = {"lf": "\n", "crlf": "\r\n", "cr": "\r"}
+    folder = write(tmp_path, **{name: "".join(",".join(row) + end for row in rows).encode() for name, end in ends.items()})
+    monkeypatch.setattr(encoding, "LINE_LIMIT", 5000)
+    splits("8192")
+    kinds = encoding._evidence(lambda line_sep, files, limit: scan_lines(spark, folder, line_sep, files=files, limit=limit), list_files(spark, folder))
+    assert [(line_sep, limit) for line_sep, limit, _, _ in kinds] == [("\n", 5000), ("\r", 5000)]
+    source = read_csv(spark, folder)
+    assert {row["name"]: row.newline for row in source.files.collect()} == {f"{name}.csv": end for name, end in ends.items()}
+    assert by_name(source.rows) == dict.fromkeys(ends, rows)
+    mine = source.files.where("newline = '\r'")
+    scanned = scan_lines(spark, folder, "\r", files=mine)
+    assert scanned.rdd.getNumPartitions() < 12 and scanned.agg(F.max(F.octet_length("line"))).first()[0] < 60
+    monkeypatch.setattr(lines, "LISTED", 0)  # too many names for a list: the same rows without pruning
+    assert by_name(read_csv(spark, folder).rows) == dict.fromkeys(ends, rows)
+
+
+def test_lines_beyond_the_limit_in_every_way(spark, tmp_path, monkeypatch):
+    rows = [["a" * 9000, "b"], ["c", "d" * 7000]] * 3
+    folder = write(tmp_path, long="".join(",".join(row) + "\n" for row in rows).encode(), short=b"a,b\nc,d\n", mark=b"\xef\xbb\xbfa,b\nc,d")
+    monkeypatch.setattr(encoding, "LINE_LIMIT", 4096)
+    assert by_name(read_csv(spark, folder).rows) == {"long": rows, "short": [["a", "b"], ["c", "d"]], "mark": [["a", "b"], ["c", "d"]]}
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\r"])
+def test_utf16_in_many_splits(spark, tmp_path, splits, newline):
+    """Both byte orders, marked or not, with line end bytes across two characters, next to each other and over split edges."""
+    odd = {"le": "\u0a05\u4e00\u0d05\u4e00", "be": "\u4e00\u0a05\u4e00\u0d05"}
+    files, expected = {}, {}
+    for order in odd:
+        for mark in ("", "\ufeff"):
+            for strange in (False, True):
+                name = f"{order}{len(mark)}{int(strange)}"
+                value = lambda k: odd[order] * (1 + k % 3) if strange and k % 5 == 0 else "\ufeffx" if k == 7 else f"v{k}"  # noqa: B023, E731
+                expected[name] = [[str(k), value(k), "plain text"] for k in range(400)]
+                text = newline.join(",".join(row) for row in expected[name]) + (newline if mark else "")
+                files[name] = (mark + text).encode(f"utf-16-{order}")
+    folder = write(tmp_path, **files)
+    for size in ("1000", "1 mb"):
+        splits(size.replace(" ", ""))
+        source = read_csv(spark, folder)
+        assert {row["name"][:2] + row.encoding[-2:] for row in source.files.collect()} == {"lele", "bebe"}
+        assert by_name(source.rows) == expected
+
+
+def test_quotes_in_utf16_with_moved_lines(spark, tmp_path, splits):
+    rows = [["a\u0a05\u4e00", 'x"\ny'], ["b", "\u0a06\u4e00\u0a07\u4e00"]] * 50
+    text = "".join(",".join(f'"{field.replace(chr(34), chr(34) * 2)}"' for field in row) + "\n" for row in rows)
+    folder = write(tmp_path, quoted=b"\xff\xfe" + text.encode("utf-16-le"))
+    splits("300")
+    assert by_name(read_csv(spark, folder).rows) == {"quoted": rows}
+
+
+def test_big5_that_begins_like_a_mark(spark, tmp_path, splits):
+    folder = write(
+        tmp_path, whole=b"\xef\xbb\xbf\xa4\xa4\xa4,b\n\xa4\xa4,c\n", half=b"\xef\xbb\xbf\x41,b\nc,d\n", plain=b"\xa4\xa4,b\nc,d\n",
+    )
+    expected = {
+        "whole": [[b"\xef\xbb\xbf\xa4\xa4\xa4".decode("big5hkscs"), "b"], ["\u4e2d", "c"]],
+        "half": [[b"\xef\xbb\xbf\x41".decode("big5hkscs"), "b"], ["c", "d"]], "plain": [["\u4e2d", "b"], ["c", "d"]],
+    }
+    for size in ("7", "1mb"):
+        splits(size)
+        for options in ({}, {"delimiter": ",", "newline": "\n"}):
+            assert by_name(read_csv(spark, folder, "big5", **options).rows) == expected
+
+
+def test_big5_halved_by_the_head(spark, tmp_path):
+    """Whether the cut of the head falls within a character makes no difference."""
+    folder = write(tmp_path, **{f"f{k}": b"a" * k + "\u4e2d".encode("big5") * 700000 + b",b\nc,d\n" for k in range(2)})
+    for preference in ("auto", "big5"):
+        source = read_csv(spark, folder, preference)
+        assert [row.problem for row in source.files.collect()] == [None, None]
+        assert {name: [len(fields[0]) for fields in rows] for name, rows in by_name(source.rows).items()} == {"f0": [700000, 1], "f1": [700001, 1]}
