@@ -27,6 +27,8 @@ from bytelayout.llm.rows import held_by_worker, id_and_text, map_texts
 # Bounds of what a Python worker remembers: states start over, pieces leave by age.
 MAX_STATES = 250_000
 MAX_PIECES = 60_000
+# Bytes of a piece between two looks at the number of states.
+LOOKED_AT = 1024
 MAX_PIECE = 32
 DECODE_TOKENS = 4096
 
@@ -129,11 +131,16 @@ class Transducer:
         if len(self.states) > self.max_states:
             self.reset()
         state, out = self.root, []
-        for byte in piece:
-            state = state[byte]
-            if state.__class__ is tuple:
-                state, emitted = state
-                out += emitted
+        for start in range(0, len(piece), LOOKED_AT):
+            if start and len(self.states) > self.max_states:
+                live = state.live
+                self.reset()
+                state = self.states.setdefault(live, State(live, self))
+            for byte in piece[start : start + LOOKED_AT]:
+                state = state[byte]
+                if state.__class__ is tuple:
+                    state, emitted = state
+                    out += emitted
         return (*out, *state.rest)
 
 
@@ -230,7 +237,7 @@ def encode_texts(
 
     def each() -> Callable[[list[bytes]], list[list]]:
         found = codec(data(), pattern)
-        return lambda texts: [[found.encode(text.decode()) for text in texts]]
+        return lambda texts: [[found.encode(text.decode(errors="replace")) for text in texts]]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     return map_texts(id_and_text(docs, id_col, text_col), fields, each)
@@ -265,7 +272,8 @@ def round_trip(
     """`doc_id`, `n_tokens` and digests of the ids and of the text decoded from them, in one pass.
 
     `ids_sha256` is of the decimal ids joined by blanks, `decoded_sha256` of the decoded
-    text in UTF-8. A null text counts as empty: no tokens, and digests of nothing.
+    text in UTF-8. A null text counts as empty: no tokens, and digests of nothing. Bytes that
+    are no UTF-8 count as U+FFFD.
     """
     data = sent(docs, ranks_path)
 
@@ -276,7 +284,7 @@ def round_trip(
         def batch(texts: list[bytes]) -> list[list]:
             columns: list[list] = [[], [], []]
             for text in texts:
-                ids = found.encode(text.decode())
+                ids = found.encode(text.decode(errors="replace"))
                 back = hashlib.sha256()
                 for part in found.decode(ids):
                     back.update(part.encode())

@@ -269,11 +269,11 @@ def extract(
     Character references are decoded and white space within a block becomes one blank.
     A null or empty page, and one without main text, gives the empty text. Unclosed and
     crossed tags are taken as they come: an end tag closes the nearest open container of
-    its name. Repeated rows are extracted each.
+    its name. Repeated rows are extracted each. Bytes that are no UTF-8 count as U+FFFD.
     """
     tree = trained(labelled)
 
     def each() -> Callable[[list[bytes]], list[list]]:
-        return lambda texts: [[main_text(text.decode(), tree) for text in texts]]
+        return lambda texts: [[main_text(text.decode(errors="replace"), tree) for text in texts]]
 
     return map_texts(id_and_text(pages, id_col, html_col), [T.StructField("text", T.StringType())], each)

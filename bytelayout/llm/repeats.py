@@ -134,7 +134,7 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """`anchor`, `context`, `doc_id`, `place` (mark and position), `copy`.
+    """`anchor`, `context`, `doc_id`, `mark`, `at` (position), `copy`.
 
     Equal contexts of one batch are collapsed here: a later one is a `copy`, which needs no
     partner any more and gets an anchor of its own, so that a passage in every document
@@ -142,7 +142,7 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """
     schema = T.StructType([
         T.StructField("anchor", T.LongType()), T.StructField("context", T.LongType()), id_field(docs),
-        T.StructField("place", T.LongType()), T.StructField("copy", T.BooleanType()),
+        T.StructField("mark", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("copy", T.BooleanType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,25 +157,25 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             rank = ordered(batch)
             if (again := np.concatenate(([False], rank[1:] == rank[:-1]))).any():
                 batch = batch.filter(pa.array(~again))
-            marks = batch.column("mark").to_numpy().astype(np.int64)
+            marks = batch.column("mark").to_numpy()
             found = list(anchors_of(as_bytes(batch.column("text")), length, gram))
             if not found:
                 continue
             doc, at, grams, contexts = (np.concatenate(part) for part in zip(*found, strict=True))
             fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))  # not met in two strides
             doc, at, grams, contexts = (part[fresh] for part in (doc, at, grams, contexts))
-            place = (marks[doc] << 32) | at
+            mark = marks[doc]
             order = np.lexsort((contexts, grams))
             later = np.zeros(len(order), bool)
             later[order[1:]] = (grams[order[1:]] == grams[order[:-1]]) & (contexts[order[1:]] == contexts[order[:-1]])
-            grams = np.where(later, mixed(grams ^ mixed(place.view(np.uint64))), grams)
+            grams = np.where(later, mixed(grams ^ mixed(mark.view(np.uint64) + at.astype(np.uint64))), grams)
             ids = batch.column("doc_id").take(pa.array(doc))
             for k in range(0, len(doc), 1 << 16):
                 part = slice(k, k + (1 << 16))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(grams[part].view(np.int64)), pa.array(contexts[part].view(np.int64)),
-                        ids.slice(k, 1 << 16), pa.array(place[part]), pa.array(later[part]),
+                        ids.slice(k, 1 << 16), pa.array(mark[part]), pa.array(at[part].astype(np.int32)), pa.array(later[part]),
                     ],
                     schema.names,
                 )
@@ -184,21 +184,21 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def compared(anchors: DataFrame) -> DataFrame:
-    """`anchor`, `doc_id`, `place`, `copy`: copies of an earlier context, and the first ones of contexts that differ.
+    """`anchor`, `doc_id`, `mark`, `at`, `copy`: copies of an earlier context, and the first ones of contexts that differ.
 
     Rows come sorted by gram and context and are looked at once, whatever a gram's number
     of rows. A gram that goes on beyond a batch counts as one with different contexts.
     """
-    schema = T.StructType([anchors.schema[name] for name in ("anchor", "doc_id", "place", "copy")])
-    rows = anchors.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "place")
+    schema = T.StructType([anchors.schema[name] for name in ("anchor", "doc_id", "mark", "at", "copy")])
+    rows = anchors.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "mark", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple[int, int] | None = None
-        first: tuple[object, int] = (None, -1)  # document and place of the first row of the last context
+        first: tuple[object, int, int] = (None, 0, -1)  # document and place of the first row of the last context
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, context, place = (batch.column(name).to_numpy() for name in ("anchor", "context", "place"))
+            anchor, context, mark, at = (batch.column(name).to_numpy() for name in ("anchor", "context", "mark", "at"))
             copy = batch.column("copy").to_numpy(zero_copy_only=False)
             doc = batch.column("doc_id").dictionary_encode()
             code, names = doc.indices.fill_null(-1).to_numpy(), doc.dictionary
@@ -206,8 +206,8 @@ def compared(anchors: DataFrame) -> DataFrame:
             same = same_gram & np.concatenate(([before is not None and before[1] == context[0]], context[1:] == context[:-1]))
             # Rows of the same document and place as the first of their context are that row again.
             opener = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
-            again = same & (opener >= 0) & (code == code[opener]) & (place == place[opener])
-            for row in np.flatnonzero((opener < 0) & (place == first[1])).tolist():
+            again = same & (opener >= 0) & (code == code[opener]) & (mark == mark[opener]) & (at == at[opener])
+            for row in np.flatnonzero((opener < 0) & (mark == first[1]) & (at == first[2])).tolist():
                 again[row] = (names[code[row]].as_py() if code[row] >= 0 else None) == first[0]
             group = np.cumsum(~same_gram)
             differ = np.bincount(group, weights=~same) > 1
@@ -217,10 +217,10 @@ def compared(anchors: DataFrame) -> DataFrame:
             needed = ~same & ~copy & differ[group]
             before = int(anchor[-1]), int(context[-1])
             if (last := int(opener[-1])) >= 0:
-                first = names[code[last]].as_py() if code[last] >= 0 else None, int(place[last])
+                first = names[code[last]].as_py() if code[last] >= 0 else None, int(mark[last]), int(at[last])
             kept = pa.array(np.flatnonzero(repeated | needed))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(name).take(kept) for name in ("anchor", "doc_id", "place")), pa.array(repeated).take(kept)],
+                [*(batch.column(name).take(kept) for name in ("anchor", "doc_id", "mark", "at")), pa.array(repeated).take(kept)],
                 schema.names,
             )
 
@@ -251,7 +251,7 @@ def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """`anchor`, `doc_id`, `mark`, `first` (byte of the document) and `bytes` of every needed context."""
     reach = length - gram
     schema = T.StructType([
-        T.StructField("anchor", T.LongType()), id_field(docs), T.StructField("mark", T.IntegerType()),
+        T.StructField("anchor", T.LongType()), id_field(docs), T.StructField("mark", T.LongType()),
         T.StructField("first", T.IntegerType()), T.StructField("bytes", T.BinaryType()),
     ])
 
@@ -414,9 +414,7 @@ def repeated_spans(
 ) -> DataFrame:
     """`doc_id`, `mark` and `spans` (merged) of the documents that repeat something; see `remove_repeats`."""
     reach = length - gram
-    found = compared(anchor_rows(docs, length, gram))
-    mark, at = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int")
-    sized = found.select("anchor", "doc_id", mark.alias("mark"), at.alias("at"), "copy")
+    sized = compared(anchor_rows(docs, length, gram))
     span = F.struct(F.greatest(F.col("at") - reach, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
     lists = sized.groupBy("doc_id", "mark").agg(
         F.collect_list(F.when(F.col("copy"), span)).alias("spans"),
@@ -457,15 +455,15 @@ def remove_repeats(
 
     Removed is every byte covered by a string of `length` bytes of the UTF-8 text that
     also starts earlier: in a document of a smaller id (null is smallest), or earlier in
-    the same document. Documents that share an id, or have none, are ordered by a
-    checksum of the text; rows that share id and text are one document. Strings are
+    the same document. Documents that share an id, or have none, are told apart and ordered
+    by a 64-bit hash of the text; rows that share id and text are one document. Strings are
     judged on the input and never reach over a document's end; a null text is empty. Cuts
     are between bytes, so `kept` may split a character. `length` must exceed `gram`, a
     power of two; texts may have up to 2 GB.
     """
     source = id_and_text(docs, id_col, text_col).select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("mark", (F.crc32("text") % (1 << 31)).cast("int"))
+    ).withColumn("mark", F.xxhash64("text"))
     spans = repeated_spans(source, length, gram, hot_contexts)
     schema = T.StructType([id_field(source), *FIELDS])
 

@@ -16,6 +16,7 @@ import xxhash
 
 from bytelayout.llm import bpe, contamination, exact, html, jaccard, licenses, lm, quality, queries, repeats, sharding, simhash, suffixes
 from bytelayout.llm.components import connected
+from samples import prose
 
 RANKS = public_tokenizers.path(queries.VOCABULARY)
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -492,6 +493,43 @@ def test_repeated_rows_are_one_document(odd, odd_rows):
     assert next(r for r in found if r.doc_id == 2).n_removed == len(odd_rows[0][1].encode())
 
 
+def test_texts_without_id_whose_checksums_are_equal(spark):
+    """Many texts share no id; two of them have the same CRC-32, and only one repeats something."""
+    passage, seen = prose(1, 40)[:150], {}
+    for k in range(400_000):
+        text = f"{passage} {k}" if k % 2 else prose(2, 40)[:150] + f" {k}"
+        other = seen.setdefault(zlib.crc32(text.encode()) % (1 << 31), text)
+        if other != text and other[:20] != text[:20]:
+            break
+    assert zlib.crc32(text.encode()) % (1 << 31) == zlib.crc32(other.encode()) % (1 << 31)
+    rows = [(-1, passage)] + [(None, t) for t in (text, other)]
+    docs = spark.createDataFrame([(9 if i is None else 1, t) for i, t in rows] + [(None, prose(9, 5))], "doc_id long, text string").repartition(3)
+    removed = {bytes(r.kept).decode(): r.n_removed for r in repeats.remove_repeats(docs).collect() if r.doc_id == 9}
+    plain = next(t for t in (text, other) if not t.startswith(passage))
+    assert removed.pop(plain) == 0 and list(removed.values()) == [len(passage.encode())]
+
+
+@pytest.mark.parametrize("name", ["bpe", "html"])
+def test_bytes_that_are_no_text(spark, tests, name):
+    """Bytes that are no UTF-8 count as the replacement character."""
+    docs = spark.createDataFrame([(1, 0)], "doc_id long, n int").selectExpr("doc_id", "CAST(X'FF4142' AS string) AS text")
+    good = spark.createDataFrame([(1, "\ufffdAB")], "doc_id long, text string")
+    assert by_row(OPERATORS[name](docs, tests)) == by_row(OPERATORS[name](good, tests))
+
+
+def test_states_are_bounded_within_a_piece():
+    """One piece of many letters starts over like many pieces do, and encodes the same."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    with open(RANKS, "rb") as stream:
+        found = bpe.Transducer(bpe.read_ranks(stream.read()), max_states=2_000)
+    with open(RANKS, "rb") as stream:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, stream)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert list(found.encode(text.encode())) == library.encode_ordinary(text)
+    assert len(found.states) <= 2_000 + bpe.LOOKED_AT
+
+
 def test_suffix_order():
     rng = random.Random(0)
     for size in (1, 2, 5, 30, 400):
