@@ -14,6 +14,7 @@ met and then looked up.
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from bytelayout.llm.rows import held_by_worker, id_and_text, map_texts
 
 # Bounds of what a Python worker remembers: states start over, pieces leave by age.
-MAX_STATES = 250_000
+MAX_STATES = 160_000
 MAX_PIECES = 60_000
 # Bytes of a piece between two looks at the number of states.
 LOOKED_AT = 1024
@@ -49,10 +50,10 @@ class State(dict[int, "State | tuple[State, tuple[int, ...]]"]):
     A transition that was not taken before is made by the transducer.
     """
 
-    __slots__ = ("live", "rest", "made_by")
+    __slots__ = ("live", "rest", "made_by", "depth")
 
-    def __init__(self, live: tuple[Live, ...], made_by: "Transducer") -> None:
-        self.live, self.rest, self.made_by = live, live[-1][2], made_by
+    def __init__(self, live: tuple[Live, ...], made_by: "Transducer", depth: int) -> None:
+        self.live, self.rest, self.made_by, self.depth = live, live[-1][2], made_by, depth
 
     def __missing__(self, byte: int) -> "State | tuple[State, tuple[int, ...]]":
         state, emitted = self.made_by.step(self, byte)
@@ -66,15 +67,33 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.open = {token[:size] for token in ranks for size in range(1, len(token))}
+        opened = (token[:size] for token in ranks for size in range(1, len(token)))
+        self.open = {start: start for start in opened}  # all states share these
         self.max_states = max_states
         self.joins: dict[int, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.root = State(((b"", -1, ()),), self)
+        self.root = State(((b"", -1, ()),), self, 0)
         self.states = {self.root.live: self.root}
 
+    def thin(self) -> None:
+        """Let go of the states that were first met deepest within pieces, half of all or more.
+
+        What is near the start of a piece is met by far the most often.
+        """
+        left, depth = self.max_states // 2, -1
+        for at, count in sorted(collections.Counter(state.depth for state in self.states.values()).items()):
+            left -= count
+            if at and left < 0:
+                break
+            depth = at
+        kept = {live: state for live, state in self.states.items() if state.depth <= depth}
+        for state in self.states.values():
+            if state.depth > depth:
+                state.clear()
+        for state in kept.values():
+            for byte in [b for b, to in state.items() if (to[0] if to.__class__ is tuple else to).depth > depth]:
+                del state[byte]
+        self.states = kept
+
     def merged(self, data: bytes) -> list[bytes]:
         """The merges themselves, lowest rank first; only used on one or two tokens."""
         rank_of, none = self.ranks.get, 1 << 62
@@ -108,8 +127,8 @@ class Transducer:
             suffix += added
             if end is None and (token := self.ranks.get(suffix)) is not None and self.follows(last, token):
                 end = (b"", token, (*chain, token))
-            if suffix in self.open:
-                live.append((suffix, last, chain))
+            if (start := self.open.get(suffix)) is not None:
+                live.append((start, last, chain))
         if end is None:
             raise ValueError(f"the vocabulary lacks byte {byte}")
         live.append(end)
@@ -121,21 +140,17 @@ class Transducer:
         key = tuple((suffix, last, chain[shared:]) for suffix, last, chain in live)
         known = self.states.get(key)
         if known is None:
-            known = self.states[key] = State(key, self)
+            known = self.states[key] = State(key, self, state.depth + 1)
         return known, end[2][:shared]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states:
-            self.reset()
         state, out = self.root, []
         for start in range(0, len(piece), LOOKED_AT):
-            if start and len(self.states) > self.max_states:
-                live = state.live
-                self.reset()
-                state = self.states.setdefault(live, State(live, self))
+            if len(self.states) > self.max_states:
+                self.thin()
             for byte in piece[start : start + LOOKED_AT]:
                 state = state[byte]
                 if state.__class__ is tuple:
