@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from bytelayout.llm.rows import held_by_worker, id_and_text, map_texts
 
 # Bounds of what a Python worker remembers: states start over, pieces leave by age.
-MAX_STATES = 160_000
+MAX_STATES = 220_000
 MAX_PIECES = 60_000
 # Bytes of a piece between two looks at the number of states.
 LOOKED_AT = 1024

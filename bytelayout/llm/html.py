@@ -20,9 +20,15 @@ from pyspark.sql import types as T
 
 from bytelayout.llm.rows import id_and_text, map_texts
 
+INSIDE = r"""(?:[^>"'/]++|"[^"]*"|'[^']*'|/(?!>))*+"""
+# What has no text of the article: to its end tag, where that comes before the article, the body or another one
+# of its kind begins or ends; else, and where it is closed at once, only its tag counts. Scripts and styles go on
+# to the end of the page.
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"""
-    r"""|<(script|style|noscript|template|iframe|object|svg|canvas|select|button|textarea|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""|<(noscript|template|iframe|object|svg|canvas|select|button|textarea|head|title)\b""" + INSIDE
+    + r""">(?:[^<]++|<(?!/?(?:article|main|body)\b|\2\b|/\2\s*>))*+</\2\s*>"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)/?>|</?[a-zA-Z][^>]*>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -59,19 +65,26 @@ class Block:
     heading: bool
 
 
-def marked(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role mark something else than the article, or a page header."""
-    boiler = head = False
+# Of what is around a block: nothing, a name that has a word of those above in it or a form, such a name as a whole.
+NONE, MAYBE, SURE = 0, 1, 2
+
+
+def marked(attributes: str) -> tuple[int, bool]:
+    """How surely class, id or role mark something else than the article, and whether they mark a page header."""
+    boiler, head = NONE, False
     for name, double, single, bare in ATTRIBUTE.findall(attributes):
         value, name = double or single or bare, name.lower()
         if name in ("class", "id", "role"):
             words = {word.lower() for word in WORD.findall(value)}
-            boiler |= not words.isdisjoint(BOILER_WORDS)
+            if not BOILER_WORDS.isdisjoint(value.lower().split()):
+                boiler = SURE
+            elif not words.isdisjoint(BOILER_WORDS):
+                boiler = max(boiler, MAYBE)
             head |= not words.isdisjoint(HEAD_WORDS)
         elif name == "style":
-            boiler |= "display:none" in value.replace(" ", "").lower()
+            boiler = SURE if "display:none" in value.replace(" ", "").lower() else boiler
         else:
-            boiler |= value.lower() != "false"
+            boiler = SURE if value.lower() != "false" else boiler
     return boiler, head
 
 
@@ -80,7 +93,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    opened: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, boiler, article
+    opened: list[tuple[str, int, bool]] = [("", NONE, False)]  # tag, boiler, article
     link, heading, once, at = 0, False, False, 0
 
     def flush() -> None:
@@ -90,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             _, boiler, article = opened[-1]
             inside = len(html.unescape("".join(linked)).split())
             words = text.count(" ") + 1
-            found.append(Block(text, words, min(inside, words), boiler or once, article, heading))
+            found.append(Block(text, words, min(inside, words), boiler > NONE or once, article, heading))
         parts.clear()
         linked.clear()
         once = False
@@ -102,9 +115,9 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked.append(page[at:start])
         at = end
-        raw, slash, tag, attributes = match.groups()
-        if raw:
-            if raw.lower() not in ("script", "style"):
+        script, other, slash, tag, attributes = match.groups()
+        if script or other:
+            if other:
                 flush()
             continue
         if tag is None:
@@ -128,14 +141,18 @@ def blocks(page: str) -> list[Block]:
                         break
             else:
                 _, boiler, article = opened[-1]
-                by_name, by_head = marked(attributes) if attributes else (False, False)
-                article = article or tag in ("article", "main")
-                if tag not in ("body", "html"):
+                by_name, by_head = marked(attributes) if attributes else (NONE, False)
+                outside, article = not article, article or tag in ("article", "main")
+                if tag in ("article", "main"):
+                    if outside and boiler == MAYBE:  # a wrapper of the article, whatever its name
+                        boiler = NONE
+                elif tag not in ("body", "html"):
                     head = not article and (tag == "header" or by_head)
-                    boiler = boiler or by_name and tag not in ("article", "main") or tag in BOILER_TAGS or head
+                    by_tag = MAYBE if tag == "form" else SURE if tag in BOILER_TAGS or head else NONE
+                    boiler = max(boiler, by_name, by_tag)
                 opened.append((tag, boiler, article))
         elif not slash and attributes:
-            once = marked(attributes)[0]
+            once = marked(attributes)[0] >= (SURE if opened[-1][2] else MAYBE)  # a paragraph of an article may have any name
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -170,6 +187,8 @@ LABELLED = (
     (10, 0.0, 5, 1.0, 6, 0.0, 0, 0, 1, 0, 0), (40, 0.0, 90, 0.0, 12, 0.2, 0, 0, 1, 0, 0),
     (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 1, 1, 0), (14, 0.1, 70, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
     (90, 0.0, 14, 0.0, 20, 0.0, 0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 6, 0.0, 0, 0, 1, 0, 0),
+    # a page of one text
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     # no article element: long texts with few links, and short ones between such
     (60, 0.0, 4, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (35, 0.05, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
     (120, 0.1, 2, 1.0, 2, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 90, 0.0, 45, 0.0, 0, 0, 0, 0, 1),

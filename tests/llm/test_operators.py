@@ -509,6 +509,26 @@ def test_texts_without_id_whose_checksums_are_equal(spark):
     assert removed.pop(plain) == 0 and list(removed.values()) == [len(passage.encode())]
 
 
+ALONE = "Twelve words of plain text that stand for an article of its own."
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>t</title><meta x><body><article><p>{ALONE}</p></article></body>",
+    f"<body><article><svg class=i/><p>{ALONE}</p></article>",
+    f"<body><noscript><img src=x><article><p>{ALONE}</p></article>",
+    f"<body><article><p>{ALONE}</p></article><button>Go",
+    f"<body><form id=aspnetForm><article><p>{ALONE}</p></article></form>",
+    f"<body><div class='post has-comments'><article><p>{ALONE}</p></article></div>",
+    f"<body><div class='content-sidebar-wrap'><main><p>{ALONE}</p></main><div class=sidebar>Other things here</div></div>",
+    f"<body><article><p class='share-price'>{ALONE}</p></article>",
+    f"<html><body><p>{ALONE}</p></body></html>",
+    f"<body><article><p>{ALONE}</p></article><section class=comments><article class=comment><p>I like it very much indeed.</p></article></section>",
+    f"<body><noscript><p>Enable scripts please.</p></noscript><article><p>{ALONE}</p></article><noscript><p>And here.</p></noscript>",
+])
+def test_odd_wrappers_and_missing_tags_lose_no_article(page):
+    assert html.main_text(page, html.trained()).removesuffix("\nGo") == ALONE
+
+
 @pytest.mark.parametrize("name", ["bpe", "html"])
 def test_bytes_that_are_no_text(spark, tests, name):
     """Bytes that are no UTF-8 count as the replacement character."""
