@@ -272,6 +272,10 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in connected(links).collect()} == {0}
     assert connected(links.where("a < 0")).collect() == []
+    rng = random.Random(4)
+    pairs = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    assert by_row(connected(pairs, 1000)) == by_row(connected(pairs)) and by_row(connected(links, 10**6)) == by_row(connected(links))
+    assert connected(links.where("a < 0"), 1000).collect() == []
 
 
 # Quality
