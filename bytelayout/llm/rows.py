@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -33,17 +35,26 @@ def held_by_worker[Made](key: Hashable, make: Callable[[], Made]) -> Made:
     """What a Python worker keeps between tasks: of all operators only the last one's."""
     _asked.append(True)
     if key not in _held:
-        _held.clear()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """Give back the memory of the operator before, also what the allocators would keep for later."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
 def prepared[Made](each: Callable[[], Made]) -> Made:
     """`each()` at the start of a task; an operator that keeps nothing lets go of what another one kept."""
     _asked.clear()
     made = each()
-    if not _asked:
-        _held.clear()
+    if not _asked and _held:
+        let_go()
     return made
 
 
