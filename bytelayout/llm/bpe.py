@@ -202,8 +202,8 @@ class Utf8Stream:
 class Codec:
     """Whole texts: pieces of the pattern, each through the transducer, and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES) -> None:
+        self.transducer = Transducer(ranks, max_states)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -232,9 +232,9 @@ class Codec:
         yield stream.close()
 
 
-def codec(data: bytes, pattern: str) -> Codec:
+def codec(data: bytes, pattern: str, max_states: int = MAX_STATES) -> Codec:
     """One per Python worker, as long as it works for this operator."""
-    return held_by_worker(("bpe", data, pattern), lambda: Codec(read_ranks(data), pattern))
+    return held_by_worker(("bpe", data, pattern, max_states), lambda: Codec(read_ranks(data), pattern, max_states))
 
 
 def sent(docs: DataFrame, ranks_path: str) -> Callable[[], bytes]:
@@ -282,18 +282,19 @@ ROUND_TRIP = [
 
 
 def round_trip(
-    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES
 ) -> DataFrame:
     """`doc_id`, `n_tokens` and digests of the ids and of the text decoded from them, in one pass.
 
     `ids_sha256` is of the decimal ids joined by blanks, `decoded_sha256` of the decoded
     text in UTF-8. A null text counts as empty: no tokens, and digests of nothing. Bytes that
-    are no UTF-8 count as U+FFFD.
+    are no UTF-8 count as U+FFFD. Fewer states held take less memory and more time, and
+    give the same tokens.
     """
     data = sent(docs, ranks_path)
 
     def each() -> Callable[[list[bytes]], list[list]]:
-        found = codec(data(), pattern)
+        found = codec(data(), pattern, max_states)
         decimal = [str(token) for token in range(max(found.transducer.tokens) + 1)]
 
         def batch(texts: list[bytes]) -> list[list]:

@@ -22,12 +22,11 @@ def connected(links: DataFrame, few: int = 0) -> DataFrame:
     smallest node it sees, until nothing changes: about log(nodes) rounds. Minima are
     aggregated before the shuffle, so a node of many links is no group of its own, and
     each round is cut off by a checkpoint. Up to `few` links between whole numbers
-    are connected by one task instead, with the same result.
+    are connected by one task instead, with the same result; `links`, then read
+    twice, should be a table at hand.
     """
-    if few:
-        links = materialize(links)
-        if links.count() <= few:
-            return materialize(links.select("a", "b").coalesce(1).mapInArrow(_at_once, "node long, root long"))
+    if few and links.count() <= few:
+        return links.select("a", "b").coalesce(1).mapInArrow(_at_once, "node long, root long")
     edges = materialize(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )

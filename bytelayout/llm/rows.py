@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytelayout.session import materialize
+from bytelayout.session import materialize, work_path
 
 # Rows of an Arrow batch that are worked on at a time, so that only their results and texts are held.
 SLICE_ROWS = 256
@@ -64,6 +64,27 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Named tables of one job in the shared folder: written, read back, and removed when nothing reads them any more.
+
+    They outlive executors as checkpoints do, but can be removed, and a small one is read by few tasks.
+    """
+
+    def __init__(self, spark: SparkSession, job: str) -> None:
+        self.spark, self.path = spark, work_path(spark, job)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Remove these tables, or all, and have the driver notice what is gone, so that Spark removes its shuffle files."""
+        for path in [f"{self.path}/{name}" for name in names] or [self.path]:
+            discard(self.spark, path)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
 
