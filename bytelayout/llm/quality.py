@@ -4,7 +4,9 @@ Only documents that are known to be good are labelled; everything else is unlabe
 web text in which an estimated share is good as well. With the risk of calling a
 positive negative subtracted at that share, the unlabelled rows give an unbiased risk
 of the negatives; where a flexible model would drive it below zero, it is held at zero
-by stepping back (the non-negative estimator).
+by stepping back (the non-negative estimator). That share, the class prior, is
+estimated from the positives and the unlabelled rows alone; labels of bad documents
+are not used.
 """
 
 from __future__ import annotations
@@ -119,15 +121,59 @@ def fit(
     return Model(mean, scale, weights[0], weights[1], weights[2], float(weights[3][0]), prior)
 
 
+def smallest_bound(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.9) -> float:
+    """The share of positives among unlabelled rows, from scores of both.
+
+    Above any threshold, the share of unlabelled rows divided by the share of positives
+    is at least the wanted share, and equals it where no negative scores so high. The
+    threshold with the smallest quotient is taken, after adding to each what the two
+    shares may be off by (Hoeffding); without that the few highest rows would decide.
+    One unlabelled row more counts as above the threshold, so that the share is never 0.
+    """
+    thresholds = np.unique(positive)
+    share_p, share_u = (
+        1 - np.searchsorted(np.sort(scores), thresholds, "left") / len(scores) for scores in (positive, unlabelled)
+    )
+    spread = np.log(4 / (1 - confidence)) / 2
+    error = np.sqrt(spread / len(positive)) + np.sqrt(spread / len(unlabelled))
+    share_u = (share_u * len(unlabelled) + 1) / (len(unlabelled) + 1)
+    best = np.argmin((share_u + error) / share_p)
+    return min(1.0, share_u[best] / share_p[best])
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> float:
+    """The share of positives among the unlabelled rows, known from the two kinds alone.
+
+    A model that tells the kinds apart is fitted on every other row and scores the
+    rest, and the other way round; the prior is the mean of both estimates. Where
+    there is only one row of a kind, it is in both halves.
+    """
+    halves = [(rows[::2], rows[1::2] if len(rows) > 1 else rows) for rows in (positive, unlabelled)]
+    found = []
+    for fitted, scored in ((0, 1), (1, 0)):
+        model = fit(halves[0][fitted], halves[1][fitted], 0.5, seed=seed)
+        found.append(smallest_bound(model.scores(halves[0][scored]), model.scores(halves[1][scored])))
+    return float(np.mean(found))
+
+
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     """CRC-32 of the id as text, modulo `folds`; fold 0 is held out. A null id is the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
 def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """Some `most` rows, each taken or left by itself, so that nothing is shuffled and repeated rows do not add up."""
+    """Some `most` rows, chosen by a hash of their columns, so that the layout of the files does not matter.
+
+    Equal rows are taken or left together. Should they make more than `most`, each row is taken or left by
+    itself, which keeps the sample bounded though a row repeats without end. Nothing is shuffled.
+    """
     share = 0.95 * most / max(1, rows.count())
-    return rows if share >= 1 else rows.where(F.rand(11) < share)
+    if share >= 1:
+        return rows
+    parts = 1 << 30
+    chosen = rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(11)), F.lit(parts)) < int(share * parts))
+    left = 0.95 * most / max(1, chosen.count())
+    return chosen if left >= 0.9 else chosen.where(F.rand(11) < left)
 
 
 def vectors(docs: DataFrame) -> np.ndarray:
@@ -146,24 +192,20 @@ def train_quality(
     """A model from the labels outside fold 0, None when there is no positive or no text.
 
     Positives are documents with label 1, unlabelled ones any documents; at most
-    `sample_rows` of either are used. The class prior is the share of label 1 among
-    the labels. An id labelled more than once counts by its largest label; labels
-    that are null or of unknown ids are left out.
+    `sample_rows` of either are used. The class prior is estimated from these two, see
+    `estimate_prior`. An id labelled more than once counts by its largest label; labels
+    that are 0 or null, or of unknown ids, are left out.
     """
     texts = id_and_text(docs, id_col, text_col)
     known = labels.select(named(labels, label_id_col).alias("doc_id"), named(labels, label_col).alias("label"))
-    known = known.where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    prior = known.agg(F.avg("label")).first()[0]
-    if not prior:
-        return None
+    known = known.where("doc_id IS NOT NULL AND label = 1").where(fold(F.col("doc_id")) != 0)
     # Some sample_rows ids; the rows of an id that repeats are thinned out again.
-    chosen = F.broadcast(materialize(sampled(known.where("label = 1").select("doc_id"), sample_rows)))
+    chosen = F.broadcast(materialize(sampled(known.select("doc_id").distinct(), sample_rows)))
     positive = vectors(sampled(texts.join(chosen, "doc_id", "left_semi"), sample_rows))[:sample_rows]
     unlabelled = vectors(sampled(texts, sample_rows))[:sample_rows]
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, min(prior, 0.98), seed=seed)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled, seed), seed=seed)
 
 
 def score_texts(model: Model | None, texts: list[bytes]) -> list[float]:

@@ -298,6 +298,42 @@ def test_held_out_quality(spark):
     assert quality.keep_good(docs, model).count() == sum(s >= 0.3 for s in scores.values())
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled_rows(share):
+    random_rows = np.random.default_rng(5)
+    good, bad = random_rows.normal(0, 1, (6000, 4)), random_rows.normal(1.2, 1, (4000, 4))
+    n = int(4000 * share)
+    unlabelled = np.concatenate((good[:n], bad[: 4000 - n]))
+    assert abs(quality.estimate_prior(good[4000:], random_rows.permutation(unlabelled)) - share) < 0.08
+
+
+def test_prior_where_all_are_positive_and_of_few_rows():
+    rows = np.random.default_rng(6).normal(0, 1, (2000, 3))
+    assert quality.estimate_prior(rows[:1000], rows[1000:]) > 0.9
+    for n, m in ((1, 1), (1, 5), (3, 2)):
+        assert 0 < quality.estimate_prior(rows[:n], rows[n : n + m]) <= 1
+
+
+def test_sample_is_the_same_in_any_layout_and_bounded(spark):
+    rows = spark.range(0, 20_000, 1, 3).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    one, other = quality.sampled(rows, 2_000), quality.sampled(rows.repartition(7), 2_000)
+    assert by_row(one) == by_row(other) and 1_700 < one.count() < 2_100
+    equal = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'x' AS text")
+    assert quality.sampled(equal, 2_000).count() <= 2_200 and quality.sampled(rows, 30_000).count() == 20_000
+
+
+def test_a_real_model_scores_odd_rows(spark, odd, odd_rows, none):
+    rows = [(k, "alder birch, cedar elm. " * (1 + k % 9)) for k in range(60)] + [(100 + k, "### $$$ " * (1 + k % 7)) for k in range(30)]
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    model = quality.train_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    found = quality.score_quality(odd, model).collect()
+    assert sorted(r.doc_id or 0 for r in found) == sorted(i or 0 for i, _ in odd_rows)
+    assert all(0 <= r.score <= 1 for r in found) and quality.score_quality(none, model).collect() == []
+    empty = {model.scores(np.array([quality.features(b"")]))[0]}
+    assert {r.score for r in found for i, text in odd_rows if i is not None and r.doc_id == i and not text} <= empty
+    assert quality.train_quality(none, labels) is None
+
+
 def test_no_labels_no_model(spark, odd):
     labels = spark.createDataFrame([(1, None), (None, 1), (77, 0)], "doc_id long, quality int")
     assert quality.train_quality(odd, labels) is None
