@@ -66,3 +66,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small evidence table with a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it from there.
+
+    For tables of any size that several jobs read: each reads only its columns, lost
+    executors cost nothing that was written, and what made the table runs once.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytelayout.functions.render import DATE_PATTERNS
-from bytelayout.session import materialize
-from bytelayout.sources.cells import CELLS_SCHEMA, EMPTY_SHEET, SheetSource, sheet_issue, sheet_rows
+from bytelayout.plans.joins import join_small
+from bytelayout.session import staged
+from bytelayout.sources.cells import (
+    CELLS_SCHEMA, EMPTY_SHEET, MAX_COLUMNS, MAX_ROWS, SheetSource, sheet_issue, sheet_rows,
+)
 from bytelayout.sources.files import admit_files, file_options, file_type, list_files
 
 OUTPUT_SCHEMA = CELLS_SCHEMA + ", problem string"
 UNREADABLE = "the workbook cannot be read"
 NO_SHEET = "the workbook has no sheet"
 WORKBOOKS = "*.[xX][lL][sS]*"
+CELLS_PER_FRAME = 50_000
 LEGACY = "the legacy .xls format is not supported"
 
 # Fixed value: days between the origins of the two date systems.
@@ -96,8 +100,43 @@ def _position(address: str) -> tuple[int, int]:
     return int(digits) - 1, column - 1
 
 
-def workbook_cells(content: bytes) -> tuple[str, list[tuple]]:
-    """Name and populated cells (r, c, type, v, w, f, z) of a workbook's first sheet."""
+def _shared_strings(archive: zipfile.ZipFile, names: set[str]) -> list[str]:
+    """Texts that cells refer to by number. Items are let go as soon as they are read."""
+    if "xl/sharedStrings.xml" not in names:
+        return []
+    texts: list[str] = []
+    with archive.open("xl/sharedStrings.xml") as stream:
+        parser = ElementTree.iterparse(stream, ("start", "end"))
+        _, root = next(parser)
+        for event, element in parser:
+            if event == "end" and element.tag.endswith("}si"):
+                texts.append(_texts(element))
+                root.clear()
+    return texts
+
+
+def _cell_elements(stream: io.BufferedIOBase) -> Iterator[ElementTree.Element]:
+    """Cells of a sheet in the order of the file; a row is let go when it ends."""
+    rows = None
+    for event, element in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            if element.tag.endswith("}sheetData"):
+                rows = element
+        elif element.tag.endswith("}c"):
+            yield element
+            element.clear()
+        elif element.tag.endswith("}row") and rows is not None:
+            rows.clear()
+
+
+def workbook_cells(
+    content: bytes, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS
+) -> Iterator[tuple]:
+    """Populated cells (sheet name, r, c, type, v, w, f, z) of a workbook's first sheet, as they are read.
+
+    Reading ends with the first cell beyond the supported rows or columns; that cell
+    is given, so that the sheet can be judged by its cells. Damage raises where it is met.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
         workbook = ElementTree.fromstring(archive.read("xl/workbook.xml"))
@@ -105,16 +144,9 @@ def workbook_cells(content: bytes) -> tuple[str, list[tuple]]:
         if found is None:
             raise LookupError(NO_SHEET)
         sheet_name, path = found
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-            shared = [_texts(item) for item in root]
-        formats = _number_formats(archive, names)
-        cells = []
+        shared, formats = _shared_strings(archive, names), _number_formats(archive, names)
         with archive.open(path) as stream:
-            for _, element in ElementTree.iterparse(stream):
-                if not element.tag.endswith("}c"):
-                    continue
+            for element in _cell_elements(stream):
                 parts = {child.tag.rsplit("}", 1)[1]: child for child in element}
                 value = parts["v"].text if "v" in parts else None
                 formula = (parts["f"].text or "") if "f" in parts else None
@@ -131,36 +163,57 @@ def workbook_cells(content: bytes) -> tuple[str, list[tuple]]:
                 if from_1904 and kind == "n" and value is not None:
                     value = _since_1900(value, number_format)
                 if value is not None or formula is not None:
-                    cells.append(
-                        (*_position(element.get("r")), kind, value, None, formula, number_format)
-                    )
-                element.clear()
-        return sheet_name, cells
+                    row, column = _position(element.get("r"))
+                    yield sheet_name, row, column, kind, value, None, formula, number_format
+                    if row >= max_rows or column >= max_columns:
+                        return
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(
+    batches: Iterator[pd.DataFrame], max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS
+) -> Iterator[pd.DataFrame]:
     columns = [part.split()[0] for part in OUTPUT_SCHEMA.split(", ")]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"sheet_index": "Int32", "r": "Int32", "c": "Int32"})
+
     for batch in batches:
         for file_id, content in zip(batch["file_id"], batch["content"]):
+            problem, rows, any_cell = None, [], False
             try:
-                name, cells = workbook_cells(bytes(content))
-                rows = [(file_id, 0, name, *cell, None) for cell in cells]
-                problem = None if rows else EMPTY_SHEET
+                for cell in workbook_cells(bytes(content), max_rows, max_columns):
+                    rows.append((file_id, 0, *cell, None))
+                    any_cell = True
+                    if len(rows) == CELLS_PER_FRAME:
+                        yield frame(rows)
+                        rows = []
             except LookupError as error:
-                rows, problem = [], NO_SHEET if str(error.args[0]) == NO_SHEET else UNREADABLE
+                problem = NO_SHEET if str(error.args[0]) == NO_SHEET else UNREADABLE
             except Exception:  # any damage to the archive or its XML
-                rows, problem = [], UNREADABLE
-            if problem:
-                rows = [(file_id, *[None] * 9, problem)]
-            yield pd.DataFrame(rows, columns=columns).astype({"sheet_index": "Int32", "r": "Int32", "c": "Int32"})
+                problem = UNREADABLE
+            if problem is None and not any_cell:
+                problem = EMPTY_SHEET
+            yield frame([(file_id, *[None] * 9, problem)] if problem else rows)
 
 
-def extract_cells(books: DataFrame) -> DataFrame:
-    """Cells of workbooks given as `file_id` and `content`, and a row with `problem` for bad ones."""
-    return books.select("file_id", "content").mapInPandas(_extract, OUTPUT_SCHEMA)
+def extract_cells(
+    books: DataFrame, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS
+) -> DataFrame:
+    """Cells of workbooks given as `file_id` and `content`, and a row with `problem` for bad ones.
 
+    Sheets are read as streams, in frames of `CELLS_PER_FRAME` cells, so cells read
+    before damage was met may come beside the `problem` of their file.
+    """
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _extract(batches, max_rows, max_columns)
 
-def read_cells(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    return books.select("file_id", "content").mapInPandas(extract, OUTPUT_SCHEMA)
+
+
+def read_cells(
+    spark: SparkSession, path: str | list[str], max_bytes: int | None = None,
+    max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS,
+) -> DataFrame:
     """Cells of all workbooks below a path; `.xls` and refused files only get a `problem`."""
     found = spark.read.format("binaryFile").options(**file_options(WORKBOOKS)).load(path)
     listed = admit_files(list_files(spark, path, WORKBOOKS), max_bytes)
@@ -173,16 +226,25 @@ def read_cells(spark: SparkSession, path: str | list[str], max_bytes: int | None
     kept = found.filter(file_type(F.col("_metadata.file_name")) == "xlsx")
     if max_bytes is not None:
         kept = kept.filter(F.col("_metadata.file_size") <= max_bytes)
-    cells = extract_cells(kept.select(F.col("_metadata.file_path").alias("file_id"), "content"))
+    cells = extract_cells(kept.select(F.col("_metadata.file_path").alias("file_id"), "content"), max_rows, max_columns)
     empty = [F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in CELLS_SCHEMA.split(", ")[1:]]
     return cells.unionByName(problems.select("file_id", *empty, "problem"))
 
 
 def read_xlsx(
-    spark: SparkSession, path: str | list[str], min_columns: int, max_bytes: int | None = None
+    spark: SparkSession, path: str | list[str], min_columns: int, max_bytes: int | None = None,
+    max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS,
 ) -> SheetSource:
-    """Records of the first sheets of `.xlsx` files, by their displayed text."""
-    cells = materialize(read_cells(spark, path, max_bytes))
-    source = sheet_rows(cells.filter("problem is null").drop("problem"), min_columns)
-    failed = cells.filter("problem is not null").select(*sheet_issue(F.col("problem")))
-    return SheetSource(source.rows, failed.unionByName(source.issues))
+    """Records of the first sheets of `.xlsx` files, by their displayed text.
+
+    Workbooks are read once, into the shared folder. A file whose damage is met late
+    gives its issue and no rows.
+    """
+    found = staged(read_cells(spark, path, max_bytes, max_rows, max_columns), "cells")
+    failed = found.filter("problem is not null")
+    cells = join_small(
+        found.filter("problem is null").drop("problem"), failed.select("file_id"), ["file_id"], "left_anti",
+        spread_by=F.col("r"),
+    )
+    source = sheet_rows(cells, min_columns, max_rows, max_columns)
+    return SheetSource(source.rows, failed.select(*sheet_issue(F.col("problem"))).unionByName(source.issues))

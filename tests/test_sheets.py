@@ -1,11 +1,14 @@
 """Spreadsheet cells: display text, dense rows, guards, and workbooks themselves."""
 
+import tracemalloc
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from bytelayout.functions.render import general_text, number_text, serial_date, typed_text
+from bytelayout.sources import xlsx
 from bytelayout.sources.cells import CELLS_SCHEMA, column_letters, sheet_rows
 from bytelayout.sources.xlsx import read_xlsx
 
@@ -87,6 +90,48 @@ def test_dates_counted_from_1904(spark, tmp_path):
     assert read_xlsx(spark, str(tmp_path), 2).rows.first().fields == ["2005-01-01", "36891"]
 
 
+def sheet_xml(rows, columns=2):
+    return "".join(
+        f'<row r="{r}">' + "".join(f'<c r="{"ABCDEFGH"[c]}{r}"><v>{r * 10 + c}</v></c>' for c in range(columns)) + "</row>"
+        for r in range(1, rows + 1)
+    )
+
+
+def test_large_sheets_come_in_bounded_frames(spark, tmp_path):
+    write_xlsx(tmp_path / "long.xlsx", sheet_xml(60_000))
+    content = (tmp_path / "long.xlsx").read_bytes()
+    books = pd.DataFrame({"file_id": ["long"], "content": [content]})
+    frames = [len(frame) for frame in xlsx._extract(iter([books]))]
+    assert frames == [50_000, 50_000, 20_000]
+    tracemalloc.start()
+    assert sum(1 for _ in xlsx.workbook_cells(content)) == 120_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # the tree of the rows alone would take over 50 MB
+    rows = read_xlsx(spark, str(tmp_path), 2).rows
+    assert rows.count() == 60_000 and rows.filter("source_row = 59999").first().fields == ["599990", "599991"]
+
+
+def test_reading_ends_beyond_the_supported_extent(spark, tmp_path):
+    write_xlsx(tmp_path / "far.xlsx", sheet_xml(50) + "<row><c r='damage")
+    content = (tmp_path / "far.xlsx").read_bytes()
+    assert sum(1 for _ in xlsx.workbook_cells(content, max_rows=20)) == 41  # damage further on is not reached
+    source = read_xlsx(spark, str(tmp_path), 2, max_rows=20)
+    assert source.rows.isEmpty() and [r.message for r in source.issues.collect()] == [
+        "Malformed spreadsheet. the sheet reaches beyond the supported rows or columns."
+    ]
+    wide = read_xlsx(spark, str(tmp_path), 2, max_columns=1)
+    assert wide.rows.isEmpty() and wide.issues.count() == 1
+
+
+def test_damage_met_late_leaves_no_rows(spark, tmp_path):
+    write_xlsx(tmp_path / "late.xlsx", sheet_xml(30_000) + "<row><c r='damage")
+    write_xlsx(tmp_path / "good.xlsx", sheet_xml(3))
+    source = read_xlsx(spark, str(tmp_path), 2)
+    assert {row.file_id.rsplit("/", 1)[1] for row in source.rows.collect()} == {"good.xlsx"}
+    assert [row.message for row in source.issues.collect()] == ["Malformed spreadsheet. the workbook cannot be read."]
+
+
 def test_a_cell_given_twice(spark):
     cells = cells_of(spark, [(0, c, "s", v, None, None, None) for c, v in ((0, "1"), (0, "1"), (2, "2"))])
     assert sheet_rows(cells, 2).rows.first().fields == ["1", "", "2"]
