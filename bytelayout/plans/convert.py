@@ -11,7 +11,7 @@ from bytelayout.functions.charset import BIG5
 from bytelayout.layout import Layout
 from bytelayout.operators.reports import ISSUE_COLUMNS, issue_table, summarize
 from bytelayout.operators.validate import ERROR, validate
-from bytelayout.session import materialize
+from bytelayout.session import materialize, staged
 from bytelayout.sources.csv import read_csv
 from bytelayout.sources.files import admit_files, list_files
 from bytelayout.sources.sink import relative_path, write_fixed_width
@@ -26,7 +26,8 @@ class Conversion:
     """What became of a folder of source files.
 
     `summary` has a row for every file that could be parsed, `issues` every problem
-    of parsing and validation, `refused` the files that were not read.
+    of parsing and validation, `refused` the files that were not read. Parsing and
+    validation ran once: `validated` is read from the shared folder.
     """
 
     validated: DataFrame
@@ -48,13 +49,20 @@ def _convert(
     layout: Layout, rows: DataFrame, parsed: DataFrame, malformed: DataFrame, refused: DataFrame,
     charset: str, output: str | None, mode: str, path: str | list[str], by_block: bool = False,
 ) -> Conversion:
-    validated, summary, issues = check_rows(rows, layout, parsed, charset)
+    """Validate once into the shared folder; counts, gate, files and issues are all read from there.
+
+    Whether a file may be written is known only after its last record, and records cannot
+    wait in memory for it, so they are written down with their verdicts.
+    """
+    validated = staged(validate(rows, layout, charset), "validated")
+    summary = materialize(summarize(validated, layout, parsed))
     if output is not None:
         name = relative_path(rows.sparkSession, path, F.col("file_id"))
-        write_fixed_width(validated, summary, layout, output, by_block=by_block, mode=mode, source_name=name)
-    return Conversion(
-        validated, summary, malformed.select(*ISSUE_COLUMNS).unionByName(issues), refused
-    )
+        write_fixed_width(
+            validated, summary, layout, output, by_block=by_block, mode=mode, source_name=name, whole_blocks=False
+        )
+    issues = malformed.select(*ISSUE_COLUMNS).unionByName(issue_table(validated, layout, parsed))
+    return Conversion(validated, summary, issues, refused)
 
 
 def refused_files(spark: SparkSession, path: str | list[str], max_bytes: int | None = None) -> DataFrame:

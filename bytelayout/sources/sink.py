@@ -97,16 +97,18 @@ def write_records(
 def write_fixed_width(
     validated: DataFrame, summary: DataFrame, layout: Layout, path: str,
     rows_per_part: int = ROWS_PER_PART, by_block: bool = False, mode: str = "errorifexists",
-    source_name: Column | None = None,
+    source_name: Column | None = None, whole_blocks: bool = True,
 ) -> None:
     """Write the files without errors; a file with any error gives no output.
 
-    Every source file has an output of its own, see `output_names`.
+    Every source file has an output of its own, see `output_names`. `whole_blocks` says
+    that the rows of a block lie in one task, as they do straight after reading; rows
+    read back from a written table need not, and are shuffled by block.
     """
     names = materialize(output_names(summary, source_name))
     passed = join_small(validated, names, ["file_id"], "inner", spread_by=F.col("source_row"), ready=True)
     output = records(passed, layout, line_end=False).withColumn("file_id", F.col("name"))
-    in_place = by_block and fits_broadcast(names)
+    in_place = by_block and whole_blocks and fits_broadcast(names)
     write_records(output, path, rows_per_part=rows_per_part, by_block=by_block, in_place=in_place, mode=mode)
 
 

@@ -1,8 +1,13 @@
 """Whole conversions of folders, and synthetic records."""
 
+import contextlib
+
+from pyspark.sql import functions as F
+
 from bytelayout.layout import Layout
 from bytelayout.operators.reports import issue_table, summarize
 from bytelayout.operators.validate import validate
+from bytelayout.plans import convert
 from bytelayout.plans.convert import convert_csv, convert_xlsx, error_files
 from bytelayout.plans.synth import synthetic_rows, with_faults
 from bytelayout.sources.fixed_width import read_fixed_width
@@ -48,6 +53,43 @@ def test_convert_a_folder(spark, tmp_path):
     assert books.issues.isEmpty() and books.summary.first().output_size == 18
 
 
+def test_validation_runs_once(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "good.csv").write_bytes("".join(f"{k},x\n" for k in range(30_000)).encode())
+    (source / "bad.csv").write_bytes(b"1,x\n2,much too wide\n")
+    layout, counted = Layout.of_widths([6, 4]), spark.sparkContext.accumulator(0)
+
+    def one_more(value):
+        counted.add(1)
+        return value
+
+    passed_on = F.udf(one_more, "boolean")
+
+    def watched(*args):
+        checked = validate(*args)
+        return checked.withColumn("valid", passed_on("valid"))
+
+    monkeypatch.setattr(convert, "validate", watched)
+    with splits_of(spark, "20k"):
+        done = convert_csv(spark, str(source), layout, str(tmp_path / "out"), delimiter=",", newline="\n")
+        assert done.issues.count() == 1 and done.validated.count() == 30_002
+    assert counted.value == 30_002
+    wanted = "".join(f"{k:<6}x   \r\n" for k in range(30_000)).encode()
+    assert joined_parts(tmp_path / "out" / "file=good.txt") == wanted
+    assert not (tmp_path / "out" / "file=bad.txt").exists()
+
+
+@contextlib.contextmanager
+def splits_of(spark, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_synthetic_records(spark, tmp_path):
     layout = Layout.built_in().with_options(expected_rows=500)
     rows = synthetic_rows(spark.range(1, 501), "id", layout)
