@@ -14,7 +14,7 @@ from bytelayout.operators.validate import ERROR, validate
 from bytelayout.session import materialize, staged
 from bytelayout.sources.csv import read_csv
 from bytelayout.sources.files import admit_files, list_files
-from bytelayout.sources.sink import relative_path, write_fixed_width
+from bytelayout.sources.sink import ROWS_PER_PART, relative_path, write_fixed_width
 from bytelayout.sources.xlsx import read_xlsx
 
 
@@ -103,6 +103,29 @@ def convert_xlsx(
     )
 
 
+def convert_folder(
+    spark: SparkSession, path: str | list[str], layout: Layout, output: str | None = None,
+    delimiter: str | None = None, newline: str | None = None, charset: str = BIG5,
+    max_bytes: int | None = None, mode: str = "errorifexists",
+) -> Conversion:
+    """CSV files and workbooks below a path together: one validation, one output, one set of reports.
+
+    A file that cannot be used gives its issue and no output, whatever its kind.
+    """
+    lines = read_csv(spark, path, layout.source_encoding, delimiter, newline, CSV_NAMES, max_bytes)
+    books = read_xlsx(spark, path, len(layout.fields), max_bytes)
+    parts = F.floor((F.col("source_row") - 1) / ROWS_PER_PART).cast("bigint")
+    rows = lines.rows.unionByName(books.rows.withColumn("block", parts))
+    parsed = lines.files.filter("problem is null").select("file_id").unionByName(
+        books.rows.select("file_id").distinct()
+    )
+    malformed = lines.issues.select(*ISSUE_COLUMNS).unionByName(books.issues.select(*ISSUE_COLUMNS))
+    return _convert(
+        layout, rows, parsed, malformed, refused_files(spark, path, max_bytes),
+        charset, output, mode, path, lines.by_block,
+    )
+
+
 def error_files(conversion: Conversion) -> DataFrame:
     """Files that gave no output, with the number of their errors."""
     return (

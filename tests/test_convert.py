@@ -8,7 +8,7 @@ from bytelayout.layout import Layout
 from bytelayout.operators.reports import issue_table, summarize
 from bytelayout.operators.validate import validate
 from bytelayout.plans import convert
-from bytelayout.plans.convert import convert_csv, convert_xlsx, error_files
+from bytelayout.plans.convert import convert_csv, convert_folder, convert_xlsx, error_files
 from bytelayout.plans.synth import synthetic_rows, with_faults
 from bytelayout.sources.fixed_width import read_fixed_width
 from bytelayout.sources.sink import write_csv
@@ -53,6 +53,31 @@ def test_convert_a_folder(spark, tmp_path):
     assert books.issues.isEmpty() and books.summary.first().output_size == 18
 
 
+def test_convert_a_mixed_folder(spark, tmp_path):
+    source = tmp_path / "in"
+    (source / "sub").mkdir(parents=True)
+    (source / "one.csv").write_bytes(b"1,x\n2,y\n")
+    (source / "wide.csv").write_bytes(b"12345,x\n")
+    write_xlsx(source / "sub" / "two.xlsx", '<row r="1"><c r="A1"><v>3</v></c></row>')
+    write_xlsx(source / "one.xlsx", '<row r="1"><c r="B1"><v>4</v></c></row>')
+    (source / "torn.xlsx").write_bytes(b"PK")
+    (source / "note.txt").write_bytes(b"1,x")
+    layout = Layout.of_widths([3, 2])
+    done = convert_folder(spark, str(source), layout, str(tmp_path / "out"))
+    found = {(r.file_id, r.record_no): r.fields for r in read_fixed_width(spark, str(tmp_path / "out"), layout).collect()}
+    assert found == {
+        ("one.csv.txt", 1): ["1", "x"], ("one.csv.txt", 2): ["2", "y"], ("sub/two.txt", 1): ["3", ""],
+        ("one.xlsx.txt", 1): ["", "4"],
+    }
+    assert {(short(r.file_id), r.code) for r in done.issues.collect()} == {
+        ("wide.csv", "WIDTH_OVERFLOW"), ("torn.xlsx", "MALFORMED_SPREADSHEET"),
+    }
+    assert {short(r.file_id) for r in done.summary.collect()} == {"one.csv", "wide.csv", "one.xlsx", "two.xlsx"}
+    assert {short(r.file_id) for r in done.refused.collect()} == {"note.txt"}
+    lines_only = convert_folder(spark, str(source / "one.csv"), layout)
+    assert [(short(r.file_id), r.actual_rows) for r in lines_only.summary.collect()] == [("one.csv", 2)]
+
+
 def test_validation_runs_once(spark, tmp_path, monkeypatch):
     source = tmp_path / "in"
     source.mkdir()
