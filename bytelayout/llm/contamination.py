@@ -189,7 +189,7 @@ def united(docs: DataFrame, parts: list[Items], window: int) -> DataFrame:
     counted = counted.select("doc_id.doc_id", "doc_id.mark", "n_words")
     rows = join_small(counted, hits, ["mark"], "left", spread_by=F.col("doc_id"), broadcast_bytes=1 << 20)
     schema = T.StructType([FIELDS[1], FIELDS[3]])
-    rows = rows.withColumn("union", F.udf(merged, schema)("runs"))
+    rows = rows.withColumn("union", F.udf(merged, schema, useArrow=True)("runs"))
     return rows.select("doc_id", "n_words", "union.n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), "union.spans")
 
 
