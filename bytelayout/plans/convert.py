@@ -36,15 +36,6 @@ class Conversion:
     refused: DataFrame
 
 
-def check_rows(
-    rows: DataFrame, layout: Layout, files: DataFrame | None = None, charset: str = BIG5
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Validated rows, summary and issue table of any record DataFrame."""
-    validated = validate(rows, layout, charset)
-    summary = materialize(summarize(validated, layout, files))
-    return validated, summary, issue_table(validated, layout, files)
-
-
 def _convert(
     layout: Layout, rows: DataFrame, parsed: DataFrame, malformed: DataFrame, refused: DataFrame,
     charset: str, output: str | None, mode: str, path: str | list[str], by_block: bool = False,
