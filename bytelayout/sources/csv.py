@@ -23,7 +23,7 @@ from bytelayout.plans.joins import fits_broadcast, join_small
 from bytelayout.session import charset_flags, materialize
 from bytelayout.sources import encoding as enc
 from bytelayout.sources.files import EMPTY_FILE, TOO_LARGE, list_files
-from bytelayout.sources.lines import first_lines, line_offset, rows_before, scan_lines
+from bytelayout.sources.lines import first_lines, line_offset, rows_before, scan_lines, written_file
 
 MALFORMED = "MALFORMED_CSV"
 
@@ -558,3 +558,20 @@ def read_csv(
         ),
         rows, issues, in_place and not any_framed and fits_broadcast(blocks),
     )
+
+
+def whole_files(source: CsvSource) -> DataFrame:
+    """The rows with `source_row` counted on over the parts of a file that `sink.write_records` wrote; other files stay.
+
+    The records of every part are known already: a prefix sum over one row per part, and no second scan.
+    """
+    parts = source.files.where("problem IS NULL").withColumn("_file", written_file(F.col("file_id")))
+    before = parts.select("file_id", rows_before("records", "file_id", "_file").alias("_before"))
+    placed = join_small(source.rows, before, ["file_id"], "inner", spread_by=F.col("source_row"))
+    return placed.withColumn("source_row", F.col("_before") + F.col("source_row")).drop("_before")
+
+
+def first_parts(files: DataFrame) -> DataFrame:
+    """Of the rows per file those of first parts, which hold the marks, and of files without parts."""
+    first = files.groupBy(written_file(F.col("file_id")).alias("_file")).agg(F.min("file_id").alias("file_id"))
+    return files.join(first.select("file_id"), "file_id", "left_semi")

@@ -18,6 +18,8 @@ from bytelayout.sources.files import file_options
 
 # Files that a scan is restricted to by name; beyond it their lines are joined away.
 LISTED = 10_000
+# A part of a file that `sink.write_records` wrote.
+PART = "/file=[^/]*/part=[^/]*/[^/]*\\z"
 
 
 def scan_lines(
@@ -60,14 +62,19 @@ def _names(files: DataFrame | None) -> list[str] | None:
     return names if len(names) <= LISTED else None
 
 
+def written_file(path: Column) -> Column:
+    """The folder that holds the parts of a written file; any other file is its own."""
+    return F.when(path.rlike(PART), F.regexp_replace(path, "/part=[^/]*/[^/]*\\z", "")).otherwise(path)
+
+
 def first_lines(lines: DataFrame) -> DataFrame:
     """`file_id` and `first_at`, the id of the first line of every file."""
     return lines.where("block = 0").groupBy("file_id").agg(F.min("at").alias("first_at"))
 
 
-def rows_before(count: str, order: str = "block") -> Column:
+def rows_before(count: str, order: str = "block", file: str = "file_id") -> Column:
     """Sum of `count` over the earlier blocks of the same file."""
-    window = W.partitionBy("file_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    window = W.partitionBy(file).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(count).over(window), F.lit(0))
 
 
@@ -91,8 +98,9 @@ def line_offset(at: Column, first_at: Column, lines: Column) -> Column:
 
 
 def number_lines(lines: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
-    """Add `line_no`, 1 to n in each file."""
-    blocks = block_counts(lines).withColumn("_before", rows_before("lines"))
+    """Add `line_no`, 1 to n in each file; part files of `sink.write_records` count on as one file."""
+    blocks = block_counts(lines).withColumns({"_file": written_file(F.col("file_id")), "_order": F.struct("file_id", "block")})
+    blocks = blocks.withColumn("_before", rows_before("lines", "_order", "_file")).drop("_file", "_order")
     options = {} if broadcast_bytes is None else {"broadcast_bytes": broadcast_bytes}
     placed = join_small(lines, blocks, ["file_id", "block"], "inner", **options)
     return placed.withColumn(
