@@ -17,6 +17,8 @@ SEPARATORS = (",", '"', " ", "-", "/")
 LETTERS, CHARACTERS, DIGITS = 3, 6, 9
 FIRST_DAY, DAYS = "1960-01-01", 25_000
 FILLED_EVERY = 11
+# Records made by one task. A number takes a few bytes and its record dozens of digests, so splits of a file are too few tasks.
+ROWS_PER_TASK = 10_000
 NOT_BIG5 = "😀"
 
 
@@ -57,10 +59,16 @@ def synthetic_field(number: Column, field: int, width: int) -> Column:
     return F.when(number % FILLED_EVERY == 0, filled).otherwise(words)
 
 
+def spread(ids: DataFrame, number: str) -> DataFrame:
+    """The numbers, dealt into as many tasks as their records need; this counts them."""
+    tasks = -(-ids.count() // ROWS_PER_TASK)
+    return ids.repartition(tasks, number) if tasks > 1 else ids
+
+
 def synthetic_rows(ids: DataFrame, number: str, layout: Layout, file_id: Column | None = None) -> DataFrame:
     """One valid record of `layout` for each value of `number` (1, 2, 3 ...)."""
     n = F.col(number).cast("bigint")
-    return ids.select(
+    return spread(ids, number).select(
         (F.lit("synthetic") if file_id is None else file_id).cast("string").alias("file_id"),
         n.alias("source_row"),
         F.array(*[synthetic_field(n, at, width) for at, width in enumerate(layout.widths, start=1)]).alias("fields"),

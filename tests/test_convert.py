@@ -149,3 +149,13 @@ def test_every_source_has_its_own_output(spark, tmp_path):
     assert found == {
         "a/同 名+.csv.txt": ["1", "x"], "a/同 名+.CSV.txt": ["4", "w"], "b/c d/同 名+.txt": ["2", "y"], "b/同 名+.txt": ["3", "z"],
     }
+
+
+def test_synthetic_records_of_one_small_split_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(1, 95_001).coalesce(1).write.parquet(str(tmp_path / "ids"))
+    ids = spark.read.parquet(str(tmp_path / "ids"))
+    assert ids.rdd.getNumPartitions() == 1
+    made = synthetic_rows(ids, "id", Layout.of_widths([3]))
+    assert made.rdd.getNumPartitions() == 10
+    sizes = [row["n"] for row in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 95_000 and max(sizes) < 1.2 * 95_000 / 10
