@@ -1,11 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash and Golay codes, verified and made complete by the Jaccard similarity of word shingles.
 
 Every text is read once and leaves a row in a table: a hash of its set of shingles (the
-node), the set itself as hashes of six bytes, a sketch of 512 minima of a byte each, and
-25 keys, each of six minima. Two sets of similarity s share a key with probability
-1 - (1 - s^6)^25: 0.9995 at 0.8, 0.88 at 0.66, 0.02 at 0.3.
-
-Nodes that share a key are candidates. Only keys and nodes are shuffled for that. Sizes
+node), the set itself as hashes of six bytes, its SimHash fingerprint, a sketch of 512
+minima of a byte each, and 25 keys, each of six minima. Two sets of similarity s share a
+key with probability 1 - (1 - s^6)^25: 0.9995 at 0.8, 0.88 at 0.66, 0.02 at 0.3.
+
+First `simhash.all_links` finds fingerprints up to 4 bits apart through Golay codewords, and
+what it links is verified. Fingerprints of two sets with a similarity of 0.8 differ in some
+10 of 64 bits, though, so what this has not connected is looked for by the minima: nodes
+that share a key are candidates, and only keys and nodes are shuffled for that. Sizes
 and sketches then rule out most candidates: sizes exactly, sketches where fewer minima
 are equal than at a similarity of 0.8 in all but one of 9,000 pairs. What is left is
 verified on the sets themselves: first each node against the first one of its keys, then
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 
 from bytelayout.llm.components import FEW_LINKS, connected
 from bytelayout.llm.rows import Scratch, id_and_text, keyed_by_text, map_texts, one_of_each
+from bytelayout.llm.simhash import CHUNK_ROWS, all_links
 from bytelayout.plans.joins import join_small
 from bytelayout.session import materialize
 
@@ -85,6 +89,15 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def fingerprint_of(found: np.ndarray) -> int:
+    """SimHash of a set: the majority bits of its shingles' hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), CHUNK_ROWS):
+        octets = found[at : at + CHUNK_ROWS].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big", signed=True)
+
+
 def packed_set(found: np.ndarray) -> bytes:
     """The highest bytes of the sorted hashes."""
     return found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
@@ -100,11 +113,12 @@ def unpacked_set(held: bytes) -> np.ndarray:
 FACTS = [
     T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())),
     T.StructField("sketch", T.BinaryType()), T.StructField("held", T.BinaryType()),
+    T.StructField("fp", T.LongType()),
 ]
 
 
 def facts_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """`doc_id`, `node`, `size` of the set, `keys`, `sketch` and `held`, the set, of every row; no keys without shingles."""
+    """`doc_id`, `node`, `size` of the set, `keys`, `sketch`, `held`, the set, and `fp` of every row; no keys without shingles."""
 
     def each() -> Callable[[list[bytes]], list[list]]:
         def batch(texts: list[bytes]) -> list[list]:
@@ -113,7 +127,8 @@ def facts_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 found = shingles(text, words)
                 minima = minima_of(found)
                 sketch = (minima * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-                rows.append((node_of(found), len(found), keys_of(minima) if len(found) else [], sketch.tobytes(), packed_set(found)))
+                keys = keys_of(minima) if len(found) else []
+                rows.append((node_of(found), len(found), keys, sketch.tobytes(), packed_set(found), fingerprint_of(found)))
             return [list(column) for column in zip(*rows, strict=True)] if rows else [[]] * len(FACTS)
 
         return batch
@@ -242,32 +257,54 @@ def linked_within_keys(members: DataFrame, roots: DataFrame, held: DataFrame, si
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def near_prints(facts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of nodes (`a`, `b`) with fingerprints up to 4 bits apart, as many as connect all of them.
+
+    Of equal fingerprints each node is paired with the smallest one, which stands for them in the other pairs.
+    """
+    prints = facts.where("size > 0").groupBy("fp").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    prints = scratch.keep("prints", prints)
+    links = scratch.keep("near prints", all_links(prints.select("fp")))
+    pairs = links
+    for side in ("a", "b"):
+        pairs = join_small(prints.select(F.col("fp").alias(side), F.col("hub").alias(f"{side}_hub")), pairs, [side], "inner", ready=True)
+    shared = prints.where("hub <> last").select("fp", "hub")
+    equal = join_small(facts.select("node", "fp"), shared, ["fp"], "inner", spread_by=F.col("node"), ready=True).where("node <> hub")
+    return pairs.select(F.col("b_hub").alias("a"), F.col("a_hub").alias("b")).union(equal.select("node", "hub").distinct())
+
+
 def similar_roots(facts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """`node` and `root` of every node linked to another one. `facts` is not read any more when this returns.
 
-    Each node is verified against the first node of one of its keys, then against those of the others. What is
-    in different components after that is compared within keys, some bands after another. No pair that shares a
-    key is left out but those already in one component.
+    What the fingerprints link is verified first. Then each node is verified against the first node of one of its
+    keys, then against those of the others, where they are not connected so far. What is in different components
+    after that is compared within keys, some bands after another. No pair that shares a key is left out but those
+    already in one component.
     """
     keep = scratch.keep
+    near = keep("near", near_prints(facts, scratch))
+    scratch.drop("prints", "near prints")
     each = facts.select("node", F.posexplode("keys").alias("band", "key"))
     keys = each.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
     keys = keep("keys", keys.select("key", "first"))
     members = keep("members", join_small(each, keys, ["key"], "inner", spread_by=F.col("node"), ready=True).distinct())
-    candidates = keep("candidates", members.select("node").distinct())
+    candidates = keep("candidates", members.select("node").union(near.select("a")).union(near.select("b")).distinct())
     rows = join_small(facts.select("node", "size", "sketch", "held"), candidates, ["node"], "left_semi", ready=True)
     held = keep("held", rows.groupBy("node").agg(F.max(F.struct("size", "sketch", "held")).alias("f")).select("node", "f.*"))
     scratch.drop("facts", "keys", "candidates")
 
+    links = keep("links near", verified(keep("likely near", likely(near, held, similarity)), held, similarity))
+    roots = keep("roots near", connected(links, FEW_LINKS))
     stars = members.where("node <> first").groupBy(F.col("node").alias("a"), F.col("first").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     stars = keep("stars", stars)
     best = keep("best", stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", "best.b"))
-    links = keep("links", verified(keep("likely", likely(best, held, similarity)), held, similarity))
+    apart = across(best, roots).select("a", "b")
+    links = links.union(keep("links", verified(keep("likely", likely(apart, held, similarity)), held, similarity)))
     roots = keep("roots", connected(links, FEW_LINKS))
     others = across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots).select("a", "b")
     links = links.union(keep("links more", verified(keep("likely more", likely(others, held, similarity)), held, similarity)))
     roots = keep("roots more", connected(links, FEW_LINKS))
-    scratch.drop("stars", "best", "likely", "likely more", "roots")
+    scratch.drop("near", "likely near", "roots near", "stars", "best", "likely", "likely more", "roots")
 
     for at, (start, end) in enumerate(itertools.pairwise(BAND_STEPS)):
         some = members.where((F.col("band") >= start) & (F.col("band") < end)).select("key", "node")

@@ -28,7 +28,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more the document with the smallest id."""
+    """Of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more the document with the smallest id.
+
+    SimHash fingerprints found through Golay codes come first; minima of the shingles find what they leave.
+    """
     return drop_similar(docs)
 
 

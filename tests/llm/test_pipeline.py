@@ -158,3 +158,23 @@ def test_one_row_stays_of_equal_ids_and_texts(spark, tmp_path):
         found = found.collect()
         assert sorted(r.text or "" for r in found) == expected
         assert {(r.doc_id, r.text or "", r[2]) for r in found} <= {(i, t or "", k) for i, t, k in rows}
+
+
+def test_fingerprints_and_golay_codes_link_near_copies(spark, monkeypatch):
+    """Without the minima, the fingerprints alone connect what they hold to be near and the sets confirm."""
+    docs = [(1000 * n + k, edited(prose(k, 300), n, 1000 * n + k) if n else prose(k, 300)) for k in range(40) for n in (0, 1, 2, 6)]
+    docs += [(40000, None), (40001, ""), (40002, "two words")]
+    sets = {i: jaccard.shingles((text or "").encode()) for i, text in docs}
+    prints = {i: jaccard.fingerprint_of(found) for i, found in sets.items()}
+    near = {
+        (a, b) for a in sets for b in sets
+        if a < b and len(sets[a]) and len(sets[b]) and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 4
+        and jaccard.similar(sets[a], sets[b], jaccard.SIMILARITY)
+    }
+    assert len(near) > 40
+    monkeypatch.setattr(jaccard, "keys_of", lambda minima: [])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in jaccard.similar_documents(frame).collect()}
+    assert all(found[a] == found[b] for a, b in near)
+    top = components(docs)
+    assert all(top[i] == top[low] for i, low in found.items())
