@@ -44,9 +44,13 @@ def list_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     )
 
 
-def admission_problem(kind: Column, size: Column, max_bytes: int | None = None) -> Column:
+def admission_problem(
+    kind: Column, size: Column, max_bytes: int | None = None, allow_empty: bool = False
+) -> Column:
     """Why a file is refused before it is read, NULL when it is not."""
-    problem = F.when(kind.isNull(), UNSUPPORTED_TYPE).when(size == 0, EMPTY_FILE)
+    problem = F.when(kind.isNull(), UNSUPPORTED_TYPE)
+    if not allow_empty:
+        problem = problem.when(size == 0, EMPTY_FILE)
     return problem if max_bytes is None else problem.when(size > max_bytes, TOO_LARGE)
 
 

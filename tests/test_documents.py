@@ -32,3 +32,7 @@ def odd_folder(tmp_path):
 
 def test_blocking_docs(spark, odd_folder):
     assert oracle.compare(spark, odd_folder, "blocking_docs") is None
+
+
+def test_file_admission(spark, odd_folder):
+    assert oracle.compare(spark, odd_folder, "file_admission") is None
